@@ -31,10 +31,14 @@ _CUT_WORD = r"[a-z ]*(?:cut|truncat|snip|continu|omit)[a-z ]*"
 PATTERNS = {
     # blanks and marks of omission after the end
     "tail": rf"(?i)(?:{_SPACE}|…|\.\.\.+|[\[(](?:…|\.\.+|{_CUT_WORD})[\])]|<{_CUT_WORD}>)+$",
-    "digits": r"\p{Nd}+",
-    "name": r"(?<=[\p{Ll}0,;:%)] )\p{Lu}[\p{L}'’]*(?: \p{Lu}[\p{L}'’]*)*",
-    "bound": r"(?<=[.!?:])(?=[\s*_\"')\]}”»])|(?<=[。！？])|[\r\n]+",
-    "closed": r"(?:[.!?。！？][*_\"'”“»)\]}`]*|\\boxed\{(?:[^{}]|\{[^{}]*\})*\}[*_$\s]*)$",
+    "may_tail": r"(?:[\s\p{Z}\p{Cf}…\])>]|\.\.\.)$",
+    "digits": r"[0-9]+|\p{Nd}+",
+    # a name follows a lower-case word, a number or a comma; the blank comes first to find it fast
+    "name": r" (?<=[\p{Ll}0,;:%)] )\p{Lu}[\p{L}'’]*(?: \p{Lu}[\p{L}'’]*)*",
+    "bound": r"[.!?:](?=[\s*_\"')\]}”»])|[。！？\r\n]+",
+    "closed": r"(?:[.!?。！？][*_\"'”“»)\]}`]*|(?:[.!?:。！？]\s+|\n|^|\*|=\s*)(?:0\.[0-9][0-9]|[0-9]{1,3}%)\**)$",
+    "may_boxed": r"[}*_$]",
+    "boxed": r"\\boxed\{(?:[^{}]|\{[^{}]*\})*\}[*_$\s]*$",
     "edge": r"^[^\p{L}\p{Nd}%<]+|[^\p{L}\p{Nd}%>]+$",
     "han": r"\p{IsHan}",
     # a label with nothing after it, and whatever else is no text
@@ -55,7 +59,7 @@ def _sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
 
 
 def _sentences(text: str) -> str:
-    return f"split(regexp_replace(regexp_replace({text}, :digits, '0'), :name, 'N'), :bound)"
+    return f"split(regexp_replace(regexp_replace({text}, :digits, '0'), :name, ' N'), :bound)"
 
 
 def _words(sentence: str) -> str:
@@ -69,7 +73,9 @@ def truncated_texts(rows: DataFrame) -> DataFrame:
     # lateral views keep costly expressions from being copied into every place that uses them
     bodies = _sql(
         spark,
-        "select row_id, body, body rlike :closed as closed from {rows} lateral view explode(array(regexp_replace(text, :tail, ''))) as body where text is not null",
+        """
+        select row_id, body, right(body, 24) rlike :closed or (right(body, 1) rlike :may_boxed and body rlike :boxed) as closed
+        from {rows} lateral view explode(array(if(right(text, 3) rlike :may_tail, regexp_replace(text, :tail, ''), text))) as body where text is not null""",
         rows=rows,
     )
     # 1. distinct sentences with their counts; the unmarked last piece of a text is kept apart
@@ -168,7 +174,7 @@ def truncated_texts(rows: DataFrame) -> DataFrame:
     exact = _sql(
         spark,
         """
-        select row_id from {bodies} where not body rlike :bare and (body rlike :open
+        select row_id from {bodies} where not closed and not body rlike :bare and (body rlike :open
             or try_cast(regexp_extract(body, :item, 1) as bigint) + 1 = try_cast(regexp_extract(body, :item, 2) as bigint))""",
         bodies=bodies,
     )
