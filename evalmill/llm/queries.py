@@ -6,7 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import truncation
+from . import pairs, residue, truncation
+
+
+# ---- 5. template residue and error-page text
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """item_id of the items whose prompt holds residue, once each."""
+    return residue.residue_rows(table(spark, d, "bench_items"), "item_id", "prompt").select(F.col("key").alias("item_id")).distinct()
+
+
+def p5_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each such prompt is residue."""
+    found = residue.residue_rows(table(spark, d, "bench_items"), "item_id", "prompt")
+    return found.groupBy(F.col("key").alias("item_id")).agg(F.max("n_spans").alias("n_spans"), F.max("covered").alias("covered"))
+
+
+# ---- 6. broken prompt and response pairs
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """rec_seq and defect of the replies delivered as ok to items of bench_items."""
+    records = table(spark, d, "records").select(F.col("rec_seq").alias("row_id"), "item_id", "text", "ok")
+    items = table(spark, d, "bench_items").select("item_id", "prompt")
+    found = pairs.defective_pairs(records.filter("ok").drop("ok"), items, records.select("row_id", "text"))
+    return found.select(F.col("row_id").alias("rec_seq"), "defect")
+
+
+# ---- 7. text cut off by field limits
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -21,5 +49,5 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(rows).withColumnRenamed("source", "provider")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_rates)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_coverage, p6_found, p7_found, p7_rates)}
 ORACLE: dict[str, str] = {}
