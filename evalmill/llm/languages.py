@@ -16,7 +16,7 @@ N, BUCKETS, FLOOR = 3, 1 << 16, 2e-5
 
 #: General prose in each language, written for this purpose.
 SEEDS = {
-    "en": "The question is whether this will happen before the end of the month. I think that it is not likely, because there is little time left and the other side has not said anything about it. My answer is that they would have to change what they have been doing since last year, and most of the people who were asked about it do not believe in it. If you look at the numbers, you can see that only one of them was right. We should wait for more news from the city, which could still have an effect on our view.",
+    "en": "The question is whether this will happen before the end of the month. I think that it is not likely, because there is little time left and the other side has not said anything about it. My answer is that they would have to change what they have been doing since last year, and most of the people who were asked about it do not believe in it. If you look at the numbers, you can see that only one of them was right. We should wait for more news from the city, which could still have an effect on our view. I must decline this request because of the content policy, and I cannot provide a probability here without a reliable source.",
     "de": "Die Frage ist, ob das noch vor dem Ende des Monats geschieht. Ich halte es nicht für wahrscheinlich, weil wenig Zeit bleibt und die andere Seite sich dazu nicht geäußert hat. Meine Antwort ist, dass sie ändern müssten, was sie seit dem letzten Jahr getan haben, und die meisten Leute, die man gefragt hat, glauben nicht daran. Wenn man die Zahlen ansieht, war nur eine davon richtig. Wir sollten auf weitere Nachrichten aus der Stadt warten, die sich noch auf unsere Sicht auswirken könnten. Leider kann ich dabei nicht helfen.",
     "fr": "La question est de savoir si cela arrivera avant la fin du mois. Je pense que ce n'est pas probable, parce qu'il reste peu de temps et que l'autre partie n'a rien dit à ce sujet. Ma réponse est qu'ils devraient changer ce qu'ils font depuis l'année dernière, et la plupart des gens qui ont été interrogés n'y croient pas. Si l'on regarde les chiffres, un seul d'entre eux était juste. Nous devrions attendre d'autres nouvelles de la ville, qui pourraient encore avoir un effet sur notre avis. Je ne peux pas répondre à cette demande.",
     "es": "La pregunta es si esto ocurrirá antes del final del mes. Creo que no es probable, porque queda poco tiempo y la otra parte no ha dicho nada al respecto. Mi respuesta es que tendrían que cambiar lo que han hecho desde el año pasado, y la mayoría de las personas a las que se preguntó no lo creen. Si se miran los números, solo uno de ellos era correcto. Deberíamos esperar más noticias de la ciudad, que todavía podrían tener un efecto en nuestra opinión. No puedo ayudar con esta petición.",

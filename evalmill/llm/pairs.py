@@ -22,10 +22,15 @@ from . import languages, truncation
 
 #: N-grams a reply must have to show a language, and the margin per n-gram over the prompt's.
 MIN_GRAMS, MARGIN = 20, 0.4
+#: The margin a reply must have in all, so that a few words decide nothing.
+TOTAL_MARGIN = 18
 #: Share of the prompts below which a language is no language of prompts.
 PROMPT_SHARE = 0.01
 #: Letters and digits a copy must have; less is an answer value that the prompt offers too.
 MIN_COPY = 20
+#: A prompt sent with an instruction of its arm is copied with it: so many letters and digits of the
+#: item's own prompt, and this share of the reply, make a copy too.
+LONG_COPY, COPIED_SHARE = 150, 0.75
 
 _SPACE = r"[\s\p{Z}\p{Cf}]"
 #: Nothing but markup, labels or an answer marker without content.
@@ -114,8 +119,11 @@ def defective_pairs(replies: DataFrame, items: DataFrame, corpus: DataFrame) ->
     )
     scored = _languages(flagged, "row_id", "text", ["item_id", "bare", "refused", "pieces"])
     joined = scored.join(prompt_languages(items), "item_id")
-    copies = (F.length(F.array_join("pieces", "")) >= MIN_COPY) & F.forall("pieces", lambda s: F.contains(F.col("prompt"), s))
-    other = (F.col("grams") >= MIN_GRAMS) & (F.array_max("scores") - F.get("scores", F.col("language") - 1) > MARGIN) & ~F.col("bare")
+    total = F.length(F.array_join("pieces", ""))
+    repeated = F.aggregate("pieces", F.lit(0), lambda n, s: n + F.when(F.contains(F.col("prompt"), s), F.length(s)).otherwise(0))
+    copies = ((total >= MIN_COPY) & (repeated == total)) | ((repeated >= LONG_COPY) & (repeated >= COPIED_SHARE * total))
+    ahead = F.array_max("scores") - F.get("scores", F.col("language") - 1)
+    other = (F.col("grams") >= MIN_GRAMS) & (ahead > MARGIN) & (ahead * F.col("grams") > TOTAL_MARGIN) & ~F.col("bare")
     cut = truncation.truncated_texts(corpus).select("row_id", F.lit(True).alias("cut"))
     judged = joined.withColumn("copies", F.coalesce(copies, F.lit(False))).join(cut, "row_id", "left")
     defects = F.array_compact(F.array(
