@@ -32,6 +32,10 @@ TERMS = 1 << 16
 ROUNDS, INNER = 3, 8
 #: How often the anchors are taken anew, from all documents by the components so far.
 BOOTS = 2
+#: Sentences, and share of the subject-bearing ones, from which an unlabelled document counts for an anchor.
+SURE_SENTENCES, SURE_SHARE = 2, 0.3
+#: Share of all sentences below which a language is taken for a misjudged one.
+TONGUE_SHARE = 0.02
 #: Start weight of a subject that a labelled document does not have: a passing sentence.
 OUTSIDE = 0.02
 #: Weight of a component's seed against what the updates gather.
@@ -112,7 +116,7 @@ def _masked(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> Dat
     return documents.select("doc_id", "text").join(masks, "doc_id", "left").select("text", F.coalesce("mask", F.lit(0)).cast("bigint").alias("mask"))
 
 
-def _rows(masked: DataFrame, components: np.ndarray | None) -> DataFrame:
+def _rows(masked: DataFrame, components: np.ndarray | None, tongues: list[int]) -> DataFrame:
     """(sentence, mask, tongue, n): distinct sentences with the subjects and the language of their documents.
 
     Documents without labels get, from the components so far, the negative of the mask of the
@@ -127,11 +131,11 @@ def _rows(masked: DataFrame, components: np.ndarray | None) -> DataFrame:
         for b in batches:
             seen: Counter = Counter()
             split = [sentences(t) for t in b.column(0).to_pylist()]
-            tongues = languages.posteriors([" ".join(own) for own in split], logp)[0].argmax(axis=1) if split else []
-            for own, m, tongue in zip(split, b.column(1).to_pylist(), tongues):
+            scores = languages.posteriors([" ".join(own) for own in split], logp)[0] if split else np.empty((0, len(logp)))
+            for own, m, tongue in zip(split, b.column(1).to_pylist(), np.take(tongues, scores[:, tongues].argmax(axis=1))):
                 if judge and m == 0:
                     about = Counter(c for c in map(judge, own) if c >= 0)
-                    m = -sum(1 << c for c, n in about.items() if n >= SHARE * sum(about.values()))
+                    m = -sum(1 << c for c, n in about.items() if n >= SURE_SENTENCES and n >= SURE_SHARE * sum(about.values()))
                 seen.update((s, m, int(tongue)) for s in own)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in seen], pa.string()), pa.array([x[1] for x in seen], pa.int64()), pa.array([x[2] for x in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())],
@@ -169,14 +173,17 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[list
     named = sorted((r["subject"], f"{r['subject_name'] or ''} {r['description'] or ''}") for r in areas.filter("subject is not null").distinct().collect())  # the fixed list of areas
     subjects = [s for s, _ in named]
     masked = _masked(documents, labels, subjects)
-    h = None
+    h, tongues = None, list(range(len(languages.LANGUAGES)))
     for _ in range(1 + BOOTS):
-        rows = cut_lineage(_rows(masked, h))
-        h = _factor(rows, named)
+        rows = cut_lineage(_rows(masked, h, tongues))
+        sizes = {r["tongue"]: r["n"] for r in rows.groupBy("tongue").agg(F.sum("n").alias("n")).collect()}  # one row per language
+        # a language that next to nobody writes is a misjudged one
+        tongues = sorted(t for t, n in sizes.items() if n >= TONGUE_SHARE * sum(sizes.values())) or tongues
+        h = _factor(rows, named, sorted(sizes))
     return subjects, h.astype(np.float32)
 
 
-def _factor(rows: DataFrame, named: list[tuple[str, str]]) -> np.ndarray:
+def _factor(rows: DataFrame, named: list[tuple[str, str]], tongues: list[int]) -> np.ndarray:
     """The components of the rows, from anchors seeded by the documents' subjects."""
     k = len(named)
 
@@ -186,8 +193,8 @@ def _factor(rows: DataFrame, named: list[tuple[str, str]]) -> np.ndarray:
 
     # an anchor is what a subject's documents say more often than documents in the same language do
     inside, everywhere, expected = np.zeros((k, TERMS)), np.zeros(TERMS), np.zeros((k, TERMS))
-    for r in rows.groupBy("tongue").agg(F.sum("n").alias("n")).collect():  # one row per language
-        counts = _gather(rows, k + 1, shares, r["tongue"])
+    for tongue in tongues:
+        counts = _gather(rows, k + 1, shares, tongue)
         own = counts[:k]
         inside += own
         everywhere += counts[k]
