@@ -10,6 +10,7 @@ from .. import ids
 from ..operators import copies, copydiff, nested, references
 from ..session import month_of, table
 from ..sources.envelope import reply_fields
+from .views import with_views
 
 
 # ---- 1. messages delivered more than once
@@ -166,3 +167,32 @@ def p4_tool_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_admitted, p2_found, p2_report, p3_found, p4_found, p4_responses, p4_choices, p4_tool_calls)}
+
+
+_NORM = r"regexp_replace(lower(regexp_replace({0}, '\s+', '', 'g')), ':0+([0-9])', ':\1', 'g')"
+_PARENTS = """u as (select manifest_id, frozen_at, u.unit_id as unit, u.item_id, u.model from (select manifest_id, frozen_at, unnest(units) as u from manifest)),
+ends as (select supersedes as manifest_id, min(frozen_at) as t_until from manifest where supersedes is not null group by 1),
+force as (select u.unit, u.frozen_at as t_from, e.t_until from u left join ends e using (manifest_id)),
+its as (select item_id, min(added_at) as added_at, min(withdrawn_at) as withdrawn_at from bench_items group by 1),
+att as (select attempt, min(batch_no) as b from rec group by 1)"""
+_ORPHANS = f"""orphans as (
+select 'records' as ref_table, 'unit_id' as ref_column, cast(rec_seq as varchar) as ref_key, case when n = 0 then 'missing' when begun > 0 then 'deleted' else 'late' end as ref_state, strftime(t, '%Y-%m') as ref_month
+from (select r.rec_seq, r.t, count(f.unit) as n, count(*) filter (f.t_from <= r.t) as begun, count(*) filter (f.t_from <= r.t and (f.t_until is null or r.t < f.t_until)) as valid
+      from (select rec_seq, unit, make_timestamp(cast(round(started_at * 1000000) as bigint)) as t from rec) r left join (select unit, t_from::timestamp as t_from, t_until::timestamp as t_until from force) f on f.unit = r.unit group by 1, 2) where valid = 0
+union all select 'manifest', 'item_id', manifest_id || '/' || unit, case when i.item_id is null then 'missing' when i.added_at > u.frozen_at then 'late' else 'deleted' end, strftime(u.frozen_at::timestamp, '%Y-%m')
+from u left join its i on i.item_id = u.item_id where i.item_id is null or i.added_at > u.frozen_at or i.withdrawn_at <= u.frozen_at
+union all select 'manifest', 'model', manifest_id || '/' || unit, 'missing', strftime(frozen_at::timestamp, '%Y-%m') from u where model not in (select model from roster)
+union all select 'raw_responses', 'attempt_id', cast(raw_id as varchar), case when b is null then 'missing' else 'late' end, strftime(logged_at::timestamp, '%Y-%m')
+from raw_responses w left join att on att.attempt = {_NORM.format('w.attempt_id')} where b is null or b > w.batch_no
+union all select 'ledger', 'attempt_id', cast(entry_id as varchar), case when b is null then 'missing' else 'late' end, strftime(charged_at::timestamp, '%Y-%m')
+from ledger w left join att on att.attempt = {_NORM.format('w.attempt_id')} where b is null or b > w.batch_no)"""
+_RANKED = "ranked as (select rec_seq, attempt, row_number() over (partition by coalesce('k' || attempt, 'r' || rec_seq) order by delivered_at, rec_seq) as r from rec)"
+ORACLE = {
+    "p1_found": with_views("rec", f"with {_RANKED} select rec_seq from ranked where r > 1"),
+    "p1_kept": with_views("rec", f"with {_RANKED} select attempt as attempt_id, rec_seq from ranked where r = 1"),
+    "p1_admitted": with_views("rec", """with m as (select floor((min(batch_no) + max(batch_no)) / 2) as middle from records),
+        n as (select attempt, rec_seq, row_number() over (partition by attempt order by delivered_at, rec_seq) as r from rec, m where batch_no > middle)
+        select attempt as attempt_id, rec_seq from n where r = 1 and attempt not in (select attempt from rec, m where batch_no <= middle)"""),
+    "p2_found": with_views("rec", f"with {_PARENTS}, {_ORPHANS} select * from orphans"),
+    "p2_report": with_views("rec", f"with {_PARENTS}, {_ORPHANS} select ref_table, ref_column, ref_state, ref_month, count(*) as n_orphans from orphans group by all"),
+}

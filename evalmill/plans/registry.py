@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import evaluation, problems
 
 
 def queries() -> dict:
     """name -> (spark, sf_dir) -> DataFrame."""
-    return dict(problems.QUERIES)
+    return evaluation.QUERIES | problems.QUERIES
 
 
 def oracle_sql() -> dict:
     """name -> DuckDB SQL."""
-    return {}
+    return evaluation.ORACLE | problems.ORACLE
