@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, problems
+from . import evaluation, problems, quality  # noqa: F401 - quality registers its queries
 
 
 def queries() -> dict:
