@@ -72,8 +72,17 @@ def log_probabilities(counts: np.ndarray, floor: float) -> np.ndarray:
     return np.log(c / np.maximum(c.sum(axis=-1, keepdims=True), 1) + floor).astype(np.float32)
 
 
-def text_scores(texts: list[str], n: int, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of log probabilities per text and class, n-grams per text)."""
-    bucket, number = hashed(texts, n, logp.shape[1])
-    grams = np.bincount(number, minlength=len(texts))
-    return np.stack([np.bincount(number, weights=row[bucket], minlength=len(texts)) for row in logp], axis=1), grams
+def text_scores(texts: list[str], n: int, logp: np.ndarray, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of log probabilities per text and class, n-grams per text); a few texts at a time, so that the work stays in the cache."""
+    table = np.ascontiguousarray(logp.T)
+    sums, grams = np.zeros((len(texts), len(logp))), np.zeros(len(texts), np.int64)
+    for at in range(0, len(texts), chunk):
+        some = texts[at : at + chunk]
+        bucket, number = hashed(some, n, logp.shape[1])
+        count = np.bincount(number, minlength=len(some))
+        grams[at : at + chunk] = count
+        full = np.flatnonzero(count)
+        if len(full):
+            starts = np.concatenate(([0], np.cumsum(count[full])[:-1]))
+            sums[at + full] = np.add.reduceat(table[bucket], starts, axis=0)
+    return sums, grams

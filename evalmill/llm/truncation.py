@@ -32,7 +32,7 @@ PATTERNS = {
     # blanks and marks of omission after the end
     "tail": rf"(?i)(?:{_SPACE}|…|\.\.\.+|[\[(](?:…|\.\.+|{_CUT_WORD})[\])]|<{_CUT_WORD}>)+$",
     "may_tail": r"(?:[\s\p{Z}\p{Cf}…\])>]|\.\.\.)$",
-    "digits": r"[0-9]+|\p{Nd}+",
+    "digits": r"[0-9]+",
     # a name follows a lower-case word, a number or a comma; the blank comes first to find it fast
     "name": r" (?<=[\p{Ll}0,;:%)] )\p{Lu}[\p{L}'’]*(?: \p{Lu}[\p{L}'’]*)*",
     "bound": r"[.!?:](?=[\s*_\"')\]}”»])|[。！？\r\n]+",
@@ -138,14 +138,17 @@ def truncated_texts(rows: DataFrame) -> DataFrame:
     last = _sql(
         spark,
         f"""
-        select row_id, concat_ws(' ', get(pp, size(pp) - 5), get(pp, size(pp) - 4)) as w0, get(pp, size(pp) - 3) as w1, get(pp, size(pp) - 2) as w2, get(pp, size(pp) - 1) as w3, name
-        from (select row_id, nullif(regexp_extract(body, :last_name, 1), '') as name, {_sentences('body')} as ss from {{bodies}} where not closed and not body rlike :bare)
-        lateral view explode(array(concat(array('^', '^', '^', '^'), {_words('element_at(ss, -1)')}))) as pp
-        where size(pp) > 4""",
+        select row_id, exact, concat_ws(' ', get(pp, size(pp) - 5), get(pp, size(pp) - 4)) as w0, get(pp, size(pp) - 3) as w1, get(pp, size(pp) - 2) as w2,
+               if(size(pp) > 4, get(pp, size(pp) - 1), null) as w3, name
+        from (
+            select row_id, nullif(regexp_extract(body, :last_name, 1), '') as name, {_sentences('body')} as ss,
+                   body rlike :open or coalesce(try_cast(regexp_extract(body, :item, 1) as bigint) + 1 = try_cast(regexp_extract(body, :item, 2) as bigint), false) as exact
+            from {{bodies}} where not closed and not body rlike :bare)
+        lateral view explode(array(concat(array('^', '^', '^', '^'), {_words('element_at(ss, -1)')}))) as pp""",
         bodies=bodies,
     )
     last = cut_lineage(last)
-    ends = _sql(spark, "select distinct w0, w1, w2, w3, if(w3 = 'n', name, null) as name from {last}", last=last)
+    ends = _sql(spark, "select distinct w0, w1, w2, w3, if(w3 = 'n', name, null) as name from {last} where w3 is not null", last=last)
     judged = _sql(
         spark,
         f"""
@@ -171,13 +174,7 @@ def truncated_texts(rows: DataFrame) -> DataFrame:
         "select l.row_id from {last} l join {judged} j on l.w0 = j.w0 and l.w1 = j.w1 and l.w2 = j.w2 and l.w3 = j.w3 and if(l.w3 = 'n', l.name, null) <=> j.name where j.cut",
         last=last, judged=judged,
     )
-    exact = _sql(
-        spark,
-        """
-        select row_id from {bodies} where not closed and not body rlike :bare and (body rlike :open
-            or try_cast(regexp_extract(body, :item, 1) as bigint) + 1 = try_cast(regexp_extract(body, :item, 2) as bigint))""",
-        bodies=bodies,
-    )
+    exact = _sql(spark, "select row_id from {last} where exact", last=last)
     return _sql(spark, "select row_id from {a} union select row_id from {b}", a=by_trigram, b=exact)
 
 
