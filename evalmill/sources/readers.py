@@ -29,10 +29,10 @@ def lenient_jsonl(spark: SparkSession, paths: str | list[str], schema: StructTyp
 
 def counted_jsonl(spark: SparkSession, paths: str | list[str], schema: StructType) -> tuple[DataFrame, int]:
     """(rows, number of malformed lines)."""
-    raw = spark.read.schema(_with_corrupt(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(paths)
-    # a projection of the corrupt column alone is not allowed over raw JSON, so a value column goes with it
-    bad = raw.select(CORRUPT, schema.fields[0].name).filter(F.col(CORRUPT).isNotNull()).count()
-    return raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), bad
+    lines = spark.read.text(paths).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", _with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    bad = parsed.filter(F.col(f"r.{CORRUPT}").isNotNull()).count()
+    return parsed.filter(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT), bad
 
 
 def corpus(spark: SparkSession, paths: str | list[str], schema: StructType, ok_only: bool = False) -> DataFrame:
@@ -93,7 +93,7 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
 def region(spark: SparkSession, path: str, begin: str, end: str) -> DataFrame:
     """(path, region): the part of each document between two marker lines, NULL without them."""
     between = rf"(?s){re.escape(begin)}\s*\n(.*?)\n?\s*{re.escape(end)}"
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.when(F.col("value").rlike(between), F.regexp_extract("value", between, 1)).alias("region"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.when(F.col("value").rlike(between), F.regexp_extract("value", between, 1)).alias("region"))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -48,7 +48,7 @@ def write_once(spark: SparkSession, path: str, document: dict, supersede: str |
     target = hadoop.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(target):
-        old = json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+        old = json.loads(spark.read.text(path, wholetext=True).first()["value"])
         if supersede is None or supersede != old.get("id") or document.get("supersedes") != supersede:
             raise GateError(f"{path} holds {old.get('id')!r} already; name it and declare that it is superseded")
         fs.rename(target, hadoop.Path(f"{path}.{old['id']}.history"))
