@@ -70,7 +70,8 @@ def _words(sentence: str) -> str:
 def truncated_texts(rows: DataFrame) -> DataFrame:
     """row_id of the truncated rows of (row_id, text)."""
     spark = rows.sparkSession
-    # lateral views keep costly expressions from being copied into every place that uses them
+    # lateral views keep costly expressions from being copied into every place that uses them; outer
+    # ones where the optimizer would else evaluate the exploded expression once more in a filter
     bodies = _sql(
         spark,
         """
@@ -84,7 +85,7 @@ def truncated_texts(rows: DataFrame) -> DataFrame:
         f"""
         select s, stop, count(*) as n from (
             select trim(s) as s, i = size(ss) - 1 and not closed as stop
-            from (select {_sentences('body')} as ss, closed from {{bodies}}) lateral view posexplode(ss) as i, s
+            from (select {_sentences('body')} as ss, closed from {{bodies}}) lateral view outer posexplode(ss) as i, s
         ) where s <> '' group by s, stop""",
         bodies=bodies,
     )
@@ -125,7 +126,7 @@ def truncated_texts(rows: DataFrame) -> DataFrame:
     # names are alike in the runs; their own spelling tells whether one was cut inside
     names = _sql(
         spark,
-        "select w, count(*) as n from {bodies} lateral view explode(regexp_extract_all(if(closed, body, regexp_replace(body, :last_word, '')), :capital, 0)) as w group by w",
+        "select w, count(*) as n from {bodies} lateral view outer explode(regexp_extract_all(if(closed, body, regexp_replace(body, :last_word, '')), :capital, 0)) as w where w is not null group by w",
         bodies=bodies,
     )
     names = cut_lineage(names)
