@@ -25,6 +25,8 @@ from . import ngrams
 N, BUCKETS = 4, 1 << 18
 #: Window length in n-grams, and the mean log ratio from which a window belongs to a span.
 WINDOW, RATIO = 4, 0.7
+#: Log ratio from which one n-gram is a window of its own.
+PEAK = 1.5
 #: Characters a span must cover, and its mean log ratio, to be residue without the exact check.
 COVER, COVER_RATIO = 28, 3.0
 #: Probability of what a model has never seen.
@@ -74,7 +76,10 @@ _STOCK = re.compile(
 
 def seed_texts() -> dict[str, list[str]]:
     """The seeds of each residue model, by rule from the lists above."""
-    slots = [s.replace("@@@@@", f"@@{n}@@") if s == "@@@@@" else s.replace("@", n) for s in _SLOTS for n in _NAMES for n in (n, n.upper())]
+    named = [s.replace("@@@@@", f"@@{n}@@") if s == "@@@@@" else s.replace("@", n) for s in _SLOTS for n in _NAMES for n in (n, n.upper())]
+    # a slot without a name is one text against the many of a named one; it weighs as much
+    bare = [s for s in _SLOTS if "@" not in s]
+    slots = [s for s in named if s not in bare] + bare * 2 * len(_NAMES)
     split = lambda block: [p for line in block.splitlines() for p in line.split("|")]
     return {"slot": slots, "filler": split(_FILLER), "notice": split(_NOTICES)}
 
@@ -106,6 +111,7 @@ def spans(text: str, ratios: np.ndarray) -> list[tuple[int, int, float]]:
         total = np.concatenate(([0.0], np.cumsum(r)))
         for i in np.flatnonzero((total[w:] - total[:-w]) / w > RATIO):
             found[i : i + w] = True
+        found |= r > PEAK  # a slot of two characters is a single n-gram
     edges = np.flatnonzero(np.diff(np.concatenate(([0], found.astype(np.int8), [0]))))
     return [(int(a), int(b) + N - 1, float(best[a:b].mean())) for a, b in edges.reshape(-1, 2)]
 

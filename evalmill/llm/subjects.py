@@ -36,6 +36,8 @@ BOOTS = 2
 SURE_SENTENCES, SURE_SHARE = 2, 0.3
 #: Share of all sentences below which a language is taken for a misjudged one.
 TONGUE_SHARE = 0.02
+#: How much more often than elsewhere an anchor is said in its subject's documents.
+LIFT = 2.0
 #: Start weight of a subject that a labelled document does not have: a passing sentence.
 OUTSIDE = 0.02
 #: Weight of a component's seed against what the updates gather.
@@ -200,7 +202,10 @@ def _factor(rows: DataFrame, named: list[tuple[str, str]], tongues: list[int]) -
         everywhere += counts[k]
         expected += own.sum(axis=1, keepdims=True) * own.sum(axis=0) / max(own.sum(), 1e-9)
     lift = inside / (expected + 0.3)
-    seeds = np.where((lift > 2) & (inside >= 1), inside * np.minimum(lift, k) / k, 0)
+    # a subject that many documents have cannot stand out by much
+    most = inside.sum() / np.maximum(inside.sum(axis=1, keepdims=True), 1e-9)
+    enough = np.minimum(LIFT, 1 + (most - 1) / 2)
+    seeds = np.where((lift > enough) & (inside >= 1), inside * np.minimum(lift, k) / k, 0)
     for i, (_, description) in enumerate(named):
         told = [w for w in _WORD.findall(description.lower()) if len(w) > 3]
         seeds[i, [zlib.crc32(w.encode()) & (TERMS - 1) for w in told]] += max(1.0, 0.002 * seeds[i].sum())
