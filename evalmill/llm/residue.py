@@ -93,7 +93,7 @@ def prepared(text: str) -> str:
 def fit(corpus: DataFrame, text: str) -> np.ndarray:
     """Log ratio of each bucket: the best residue model against prose; fitted over every text of corpus."""
     prose = ngrams.log_probabilities(ngrams.corpus_counts(corpus, text, N, BUCKETS, prepared), FLOOR)
-    seeds = np.stack([ngrams.count_texts([f" {prepared(s)} " for s in v], N, BUCKETS) for v in seed_texts().values()])
+    seeds = np.stack([ngrams.count_texts([f" {prepared(s)}{end}" for s in v for end in (" ", ".", ", ")], N, BUCKETS) for v in seed_texts().values()])
     return (ngrams.log_probabilities(seeds, FLOOR) - prose).astype(np.float32)
 
 
