@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import share
+from .ranking import exact_median
 
 
 def rank_auc(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
@@ -54,11 +55,12 @@ def forecast_summary(df: DataFrame, group: list[str], half: int, unit: int) -> D
     Unparsed rows stay in n and truncated but in no metric.
     """
     counts = df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.count("bp").alias("parsed"), F.count_if("truncated").alias("truncated"),
-        F.median("chars").alias("median_chars"), F.median("ms").alias("median_ms"), F.sum("bp").alias("bp_sum"),
+        F.count(F.lit(1)).alias("n"), F.count("bp").alias("parsed"), F.count_if("truncated").alias("truncated"), F.sum("bp").alias("bp_sum")
     )
     out = counts
     for part in (
+        exact_median(df, group, "chars", "median_chars"),
+        exact_median(df, group, "ms", "median_ms", 4096),
         confusion(df.filter("y is not null"), group, "bp", "y", half),
         brier(df, group, "bp", "y", unit).drop("n", "n_pos"),
         rank_auc(df, group, "bp", "y").drop("n_pos", "n_neg"),

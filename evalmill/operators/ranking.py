@@ -34,6 +34,21 @@ def chunked_sum(df: DataFrame, value: str, order: list[Column], chunk: Column, g
     return keyed.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(starts, [*by, "_chunk"]).withColumn("running", F.col("_before") + F.col("_in")).drop("_chunk", "_before", "_in")
 
 
+def exact_median(df: DataFrame, group: list[str], value: str, name: str, width: int = 256) -> DataFrame:
+    """group and the median of an integer column (mean of the middle two), without NULLs.
+
+    Equal values are counted first and the counts summed up in chunks of ``width`` values, so neither
+    a task nor an aggregation buffer holds a whole group.
+    """
+    per = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("bigint").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    run = chunked_sum(per, "_c", [F.col("_v")], F.floor(F.col("_v") / width), group)
+    sizes = per.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    at = lambda k: F.min(F.when(F.col("running") > k, F.col("_v")))
+    n = F.col("_n")
+    middle = run.join(sizes, group).groupBy(*group).agg(at(F.floor((n - 1) / 2)).alias("_a"), at(F.floor(n / 2)).alias("_b"))
+    return middle.select(*group, ((F.col("_a") + F.col("_b")) / 2).alias(name))
+
+
 def hash_order(seed: str, key: Column) -> Column:
     """A reproducible random order that no partitioning changes: sha256 over seed and key, as hex."""
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"), 256)

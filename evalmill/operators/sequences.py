@@ -22,12 +22,22 @@ def even_spread(df: DataFrame, provider: str, key: str, seed: str) -> DataFrame:
     return whole.select(key, provider, F.col("rank").alias("pos"))
 
 
-def longest_runs(df: DataFrame, value: str, order: list[Column], group: list[str]) -> DataFrame:
-    """group, value, longest: the most rows in a row with one value, by gaps and islands."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    starts = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    islands = df.withColumn("_s", starts).withColumn("_i", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*group, value, "_i").agg(F.count(F.lit(1)).alias("n")).groupBy(*group, value).agg(F.max("n").alias("longest"))
+def longest_runs(df: DataFrame, value: str, order: list[Column], group: list[str], chunk: Column) -> DataFrame:
+    """group, value, longest: the most rows in a row with one value, by gaps and islands.
+
+    chunk must not decrease along order (see chunked_rank). The value before a chunk's first row comes
+    from the last row of the chunk before it, so runs go on across chunks; NULL is a value of its own.
+    """
+    keyed = df.withColumn("_c", chunk)
+    w = Window.partitionBy(*group, "_c").orderBy(*order)
+    last = keyed.groupBy(*group, "_c").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    ahead = last.select(*group, "_c", F.lag("_last").over(Window.partitionBy(*group).orderBy("_c")).alias("_ahead"))
+    own = F.struct(F.col(value).alias("v"))
+    placed = keyed.withColumn("_prev", F.lag(own).over(w)).withColumn("_n", F.row_number().over(w)).join(ahead, [*group, "_c"])
+    before = F.when(F.col("_n") == 1, F.col("_ahead")).otherwise(F.col("_prev"))
+    starts = placed.withColumn("_s", F.when(before.isNotNull() & before["v"].eqNullSafe(F.col(value)), 0).otherwise(1)).drop("_c", "_prev", "_n", "_ahead")
+    islands = chunked_sum(starts, "_s", order, chunk, group)
+    return islands.groupBy(*group, value, "running").agg(F.count(F.lit(1)).alias("n")).groupBy(*group, value).agg(F.max("n").alias("longest"))
 
 
 def peak_overlap(df: DataFrame, group: list[str], start: str, end: str, chunk: int) -> DataFrame:
@@ -48,8 +58,8 @@ def within_ceiling(df: DataFrame, value: str, order: list[Column], chunk: Column
     return run.withColumn("spent_before", before).withColumn("admitted", before < ceiling)
 
 
-def quarantined(df: DataFrame, group: list[str], defect: Column, order: list[Column], limit: int) -> DataFrame:
+def quarantined(df: DataFrame, group: list[str], defect: Column, order: list[Column], limit: int, chunk: Column) -> DataFrame:
     """df with ``state``: ACTIVE rows up to and with the limit-th defect of the group (successes in between do not reset), QUARANTINED after."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum(F.when(defect, 1).otherwise(0)).over(w), F.lit(0))
-    return df.withColumn("state", F.when(earlier >= limit, "QUARANTINED").otherwise("ACTIVE"))
+    marked = df.withColumn("_d", F.when(defect, 1).otherwise(0))
+    run = chunked_sum(marked, "_d", order, chunk, group)
+    return run.withColumn("state", F.when(F.col("running") - F.col("_d") >= limit, "QUARANTINED").otherwise("ACTIVE")).drop("_d", "running")

@@ -313,10 +313,14 @@ def labelled_classes(spark, d):
     return top.filter((F.col("verdict") != "NO_ANSWER") | (F.col("rn") <= 10)).select("verdict", "rec_seq")
 
 
-@query("set_hashes", "select bench, sha256(string_agg(item_id, ',' order by item_id)) as items_hash, count(*) as n from items group by 1", "items")
+@query("set_hashes", """select bench, sha256(string_agg(digest, '' order by chunk)) as items_hash, cast(sum(n) as bigint) as n from (
+    select bench, substr(sha256(item_id), 1, 3) as chunk, sha256(string_agg(item_id, ',' order by item_id)) as digest, count(*) as n from items group by 1, 2) group by 1""", "items")
 def set_hashes(spark, d):
-    """AG28: a hash that names a set of ids; the sorted ids of a benchmark are the thing hashed, one string."""
-    return views.items(spark, d).groupBy("bench").agg(F.array_sort(F.collect_list("item_id")).alias("x"), F.count(F.lit(1)).alias("n")).select("bench", F.sha2(F.array_join("x", ","), 256).alias("items_hash"), "n")
+    """AG28: a hash that names a set of ids, whatever their order: a digest over the digests of 4,096 chunks, so no task holds the whole set."""
+    chunk = F.substring(F.sha2("item_id", 256), 1, 3)
+    parts = views.items(spark, d).groupBy("bench", chunk.alias("chunk")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("item_id")), ","), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "digest"))), lambda x: x["digest"])
+    return parts.groupBy("bench").agg(F.sha2(F.array_join(whole, ""), 256).alias("items_hash"), F.sum("n").alias("n"))
 
 
 @query("effective_questions", "select bench, count(*) as clusters, sum(n) as items from (select bench, substr(end_time, 1, 7) as m, count(*) as n from items group by 1, 2) group by 1", "items")
@@ -450,7 +454,9 @@ def reader_disagreement(spark, d):
 def budget_probe(spark, d):
     """AG33."""
     done = F.when(F.col("finish_reason") == "stop", F.col("chars"))
-    return table(spark, d, "records").groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("finish_reason") == "length").alias("capped"), F.min(done).alias("least"), F.median(done).alias("mid"), F.max(done).alias("most"))
+    r = table(spark, d, "records").select("model", "finish_reason", done.alias("done"))
+    out = r.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("finish_reason") == "length").alias("capped"), F.min("done").alias("least"), F.max("done").alias("most"))
+    return out.join(ranking.exact_median(r, ["model"], "done", "mid"), "model", "left")
 
 
 @query("retry_ledger", "select coalesce(b.finish_reason, '-') as finish_reason, count(*) as tries, count(distinct rec_seq) as n_records, sum(b.completion_tokens)::bigint as tokens from (select rec_seq, unnest(budget_trace) as b from records) group by 1")
@@ -500,7 +506,7 @@ def even_spread(spark, d):
 def longest_runs(spark, d):
     """WN03: the longest burst each provider served a model."""
     r = table(spark, d, "records").select("model", F.col("provider").alias("provider_group"), "started_at", "rec_seq")
-    return sequences.longest_runs(r, "provider_group", [F.col("started_at"), F.col("rec_seq")], ["model"])
+    return sequences.longest_runs(r, "provider_group", [F.col("started_at"), F.col("rec_seq")], ["model"], F.floor(F.col("started_at") / 604_800))
 
 
 @query("peak_concurrency", """with e as (select provider_group, cast(round(started_at * 1000) as bigint) as t, 1 as d from records union all select provider_group, cast(round(ended_at * 1000) as bigint), -1 from records)
@@ -519,7 +525,7 @@ _DEFECT = "verdict in ('TRUNCATED', 'EMPTY_HTTP', 'EMPTY_PARSE', 'EMPTY_CONFLICT
 def quarantine(spark, d):
     """WN09, PF16, SR04: per run and model, records after the third defect."""
     defect = F.coalesce(F.col("verdict").isin(*verdicts.METHOD_DEFECT, "UNDECIDED"), F.lit(False))
-    return sequences.quarantined(views.records(spark, d), ["manifest_id", "model"], defect, [F.col("started_at"), F.col("rec_seq")], 3).select("rec_seq", "state")
+    return sequences.quarantined(views.records(spark, d), ["manifest_id", "model"], defect, [F.col("started_at"), F.col("rec_seq")], 3, F.floor(F.col("started_at") / 604_800)).select("rec_seq", "state")
 
 
 @query("recent_faults", "select model, fault_id from (select model, fault_id, row_number() over (partition by model order by ts desc, fault_id desc) as rn from faults) where rn <= 5")

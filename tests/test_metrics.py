@@ -55,12 +55,27 @@ def test_peak_and_runs(spark):
     df = spark.createDataFrame([("p", 0, 10), ("p", 5, 12), ("p", 10, 11), ("q", 1, 2)], "g string, a int, b int")
     assert {r["g"]: r["peak"] for r in sequences.peak_overlap(df, ["g"], "a", "b", 4).collect()} == {"p": 2, "q": 1}
     rows = spark.createDataFrame([("m", i, v) for i, v in enumerate(["x", "x", None, None, None, "x"])], "m string, i int, v string")
-    assert {r["v"]: r["longest"] for r in sequences.longest_runs(rows, "v", [F.col("i")], ["m"]).collect()} == {"x": 2, None: 3}
+    assert {r["v"]: r["longest"] for r in sequences.longest_runs(rows, "v", [F.col("i")], ["m"], F.floor(F.col("i") / 2)).collect()} == {"x": 2, None: 3}
+    rnd = random.Random(8)
+    seq = [("m", i, rnd.choice(["x", "x", "y", None])) for i in range(300)]
+    want, run = {}, 0
+    for k, (_, _, v) in enumerate(seq):
+        run = run + 1 if k and seq[k - 1][2] == v else 1
+        want[v] = max(want.get(v, 0), run)
+    for width in (1, 7, 1000):
+        got = sequences.longest_runs(spark.createDataFrame(seq, "m string, i int, v string"), "v", [F.col("i")], ["m"], F.floor(F.col("i") / width))
+        assert {r["v"]: r["longest"] for r in got.collect()} == want
+
+
+def test_exact_median(spark):
+    rows = [("a", v) for v in (5, 1, 9, None)] + [("b", v) for v in (1, 2, 300, 4000)] + [("c", None)]
+    got = {r["g"]: r["m"] for r in ranking.exact_median(spark.createDataFrame(rows, "g string, v int"), ["g"], "v", "m", 8).collect()}
+    assert got == {"a": 5.0, "b": 151.0}
 
 
 def test_quarantine_and_ceiling(spark):
     df = spark.createDataFrame([("m", i, i in (1, 2, 4)) for i in range(7)], "m string, i int, bad boolean")
-    out = {r["i"]: r["state"] for r in sequences.quarantined(df, ["m"], F.col("bad"), [F.col("i")], 3).collect()}
+    out = {r["i"]: r["state"] for r in sequences.quarantined(df, ["m"], F.col("bad"), [F.col("i")], 3, F.floor(F.col("i") / 2)).collect()}
     assert [out[i] for i in range(7)] == ["ACTIVE"] * 5 + ["QUARANTINED"] * 2
     spend = spark.createDataFrame([(i, 4) for i in range(5)], "i int, v int")
     got = {r["i"]: r["admitted"] for r in sequences.within_ceiling(spend, "v", [F.col("i")], F.floor(F.col("i") / 2), 9).collect()}
