@@ -147,20 +147,21 @@ def _rows(masked: DataFrame, components: np.ndarray | None, tongues: list[int])
     return masked.mapInArrow(run, "sentence string, mask bigint, tongue int, n bigint").groupBy("sentence", "mask", "tongue").agg(F.sum("n").alias("n"))
 
 
-def _gather(rows: DataFrame, width: int, of_row, tongue: int | None = None) -> np.ndarray:
-    """The sum over the rows (of one language) of of_row(terms, mask), a (width x terms) contribution, by n; at most width x TERMS sums are collected."""
+def _gather(rows: DataFrame, width: int, of_row) -> np.ndarray:
+    """The sum over the rows (sentence, mask, tongue, n) of n times of_row(terms, mask, tongue), which gives
+    (first line, lines x terms); at most width x TERMS sums are collected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, TERMS))
         for b in batches:
-            for s, m, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for s, m, g, n in zip(*(b.column(i).to_pylist() for i in range(4))):
                 t = terms(s)
-                total[:, t] += n * of_row(t, m)
+                at, values = of_row(t, m, g)
+                total[at : at + len(values), t] += n * values
         i, j = np.nonzero(total > 1e-9)
         yield pa.RecordBatch.from_arrays([pa.array(i * TERMS + j), pa.array(total[i, j])], names=["cell", "v"])
 
-    own = rows if tongue is None else rows.filter(F.col("tongue") == tongue)
-    sums = own.select("sentence", "mask", "n").mapInArrow(run, "cell bigint, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
+    sums = rows.select("sentence", "mask", "tongue", "n").mapInArrow(run, "cell bigint, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
     out = np.zeros(width * TERMS)
     out[sums["cell"].to_numpy(np.int64)] = sums["v"].to_numpy()
     return out.reshape(width, TERMS)
@@ -181,7 +182,7 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[list
         sizes = {r["tongue"]: r["n"] for r in rows.groupBy("tongue").agg(F.sum("n").alias("n")).collect()}  # one row per language
         # a language that next to nobody writes is a misjudged one
         tongues = sorted(t for t, n in sizes.items() if n >= TONGUE_SHARE * sum(sizes.values())) or tongues
-        h = _factor(rows, named, sorted(sizes))
+        h = _factor(rows, named, tongues)
     return subjects, h.astype(np.float32)
 
 
@@ -189,17 +190,18 @@ def _factor(rows: DataFrame, named: list[tuple[str, str]], tongues: list[int]) -
     """The components of the rows, from anchors seeded by the documents' subjects."""
     k = len(named)
 
-    def shares(t: np.ndarray, mask: int) -> np.ndarray:
+    place = {t: i for i, t in enumerate(tongues)}
+
+    def shares(t: np.ndarray, mask: int, tongue: int) -> tuple[int, np.ndarray]:
+        if tongue not in place:
+            return 0, np.zeros((0, len(t)))
         has = np.array([abs(mask) >> i & 1 for i in range(k)], float)
-        return np.concatenate((has / max(has.sum(), 1), [1.0]))[:, None]
+        return place[tongue] * (k + 1), np.repeat(np.concatenate((has / max(has.sum(), 1), [1.0]))[:, None], len(t), axis=1)
 
     # an anchor is what a subject's documents say more often than documents in the same language do
-    inside, everywhere, expected = np.zeros((k, TERMS)), np.zeros(TERMS), np.zeros((k, TERMS))
-    for tongue in tongues:
-        counts = _gather(rows, k + 1, shares, tongue)
-        own = counts[:k]
-        inside += own
-        everywhere += counts[k]
+    counts = _gather(rows, (k + 1) * len(tongues), shares).reshape(len(tongues), k + 1, TERMS)
+    everywhere, inside, expected = counts[:, k].sum(axis=0), counts[:, :k].sum(axis=0), np.zeros((k, TERMS))
+    for own in counts[:, :k]:
         expected += own.sum(axis=1, keepdims=True) * own.sum(axis=0) / max(own.sum(), 1e-9)
     lift = inside / (expected + 0.3)
     # a subject that many documents have cannot stand out by much
@@ -212,16 +214,19 @@ def _factor(rows: DataFrame, named: list[tuple[str, str]], tongues: list[int]) -
     shared = everywhere / np.maximum(1, lift.max(axis=0) ** 2)
     h0 = _normal(np.vstack([seeds, shared]))
     h = h0 + 1e-7
+    # without labels a sentence may be about anything, whatever its documents are about
+    free = rows.groupBy("sentence", F.greatest("mask", F.lit(0)).alias("mask"), F.lit(0).alias("tongue")).agg(F.sum("n").alias("n"))
+    free = cut_lineage(free)
     for _ in range(ROUNDS):
         sent = rows.sparkSession.sparkContext.broadcast(h)  # fixed size
 
-        def update(t: np.ndarray, mask: int) -> np.ndarray:
+        def update(t: np.ndarray, mask: int, tongue: int) -> tuple[int, np.ndarray]:
             allowed = np.array([1.0 if mask <= 0 or mask >> i & 1 else OUTSIDE for i in range(k)] + [1.0])
             columns = sent.value[:, t]
             w = _weights(columns, allowed)
-            return (w[:, None] * columns) / np.maximum(w @ columns, 1e-12)
+            return 0, (w[:, None] * columns) / np.maximum(w @ columns, 1e-12)
 
-        h = _normal(_normal(_gather(rows, k + 1, update)) + PRIOR * h0) + 1e-7
+        h = _normal(_normal(_gather(free, k + 1, update)) + PRIOR * h0) + 1e-7
     return h
 
 
