@@ -12,14 +12,23 @@ from ..functions.scalars import share
 from .ranking import exact_median
 
 
-def rank_auc(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
+def _times(weight: str | None):
+    """How many rows a row stands for."""
+    return F.lit(1) if weight is None else F.col(weight)
+
+
+def _count_if(condition, weight: str | None):
+    return F.coalesce(F.sum(F.when(condition, _times(weight))), F.lit(0))
+
+
+def rank_auc(df: DataFrame, group: list[str], score: str, label: str, weight: str | None = None) -> DataFrame:
     """group, n_pos, n_neg, roc_auc: the chance that a positive outscores a negative, ties half.
 
     Rows are first counted per distinct score, so a group is as large as its distinct scores and no
     row-level sort is needed. NULL scores or labels are left out; AUC is NULL without both classes.
     """
     known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    per = known.groupBy(*group, score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    per = known.groupBy(*group, score).agg(_count_if(F.col(label) == 1, weight).alias("pos"), _count_if(F.col(label) == 0, weight).alias("neg"))
     below = F.coalesce(F.sum("neg").over(Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wins = per.withColumn("wins2", F.col("pos") * (2 * below + F.col("neg")))
     out = wins.groupBy(*group).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("wins2").alias("wins2"))
@@ -27,11 +36,11 @@ def rank_auc(df: DataFrame, group: list[str], score: str, label: str) -> DataFra
     return out.select(*group, "n_pos", "n_neg", F.when(pairs > 0, F.col("wins2") / (2 * pairs)).alias("roc_auc"))
 
 
-def confusion(df: DataFrame, group: list[str], score: str, label: str, half: int) -> DataFrame:
+def confusion(df: DataFrame, group: list[str], score: str, label: str, half: int, weight: str | None = None) -> DataFrame:
     """tp, fp, fn, tn at score >= half; precision and recall NULL on an empty denominator, F1 0.0 then."""
     said, was = F.col(score) >= half, F.col(label) == 1
     base = df.filter(F.col(score).isNotNull()).groupBy(*group).agg(
-        F.count_if(said & was).alias("tp"), F.count_if(said & ~was).alias("fp"), F.count_if(~said & was).alias("fn"), F.count_if(~said & ~was).alias("tn")
+        *[_count_if(c, weight).alias(n) for n, c in (("tp", said & was), ("fp", said & ~was), ("fn", ~said & was), ("tn", ~said & ~was))]
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return base.select(
@@ -40,11 +49,11 @@ def confusion(df: DataFrame, group: list[str], score: str, label: str, half: int
     )
 
 
-def brier(df: DataFrame, group: list[str], bp: str, label: str, unit: int) -> DataFrame:
+def brier(df: DataFrame, group: list[str], bp: str, label: str, unit: int, weight: str | None = None) -> DataFrame:
     """n, brier and the reference of always forecasting the base rate; bp / unit is the probability."""
     known = df.filter(F.col(bp).isNotNull() & F.col(label).isNotNull())
     miss = F.col(bp) - unit * F.col(label)
-    out = known.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("n_pos"), F.sum((miss * miss).cast("bigint")).alias("sq"))
+    out = known.groupBy(*group).agg(F.sum(_times(weight)).cast("bigint").alias("n"), F.sum(F.col(label).cast("bigint") * _times(weight)).alias("n_pos"), F.sum((miss * miss).cast("bigint") * _times(weight)).alias("sq"))
     n, pos = F.col("n"), F.col("n_pos")
     return out.select(*group, "n", "n_pos", (F.col("sq") / (n * unit * unit)).alias("brier"), (pos * (n - pos) / (n * n)).alias("brier_base_rate"))
 
@@ -57,13 +66,15 @@ def forecast_summary(df: DataFrame, group: list[str], half: int, unit: int) -> D
     counts = df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.count("bp").alias("parsed"), F.count_if("truncated").alias("truncated"), F.sum("bp").alias("bp_sum")
     )
+    # the three metrics share one pass: equal (score, outcome) pairs are counted once
+    cells = df.filter("bp is not null and y is not null").groupBy(*group, "bp", "y").agg(F.count(F.lit(1)).alias("w"))
     out = counts
     for part in (
-        exact_median(df, group, "chars", "median_chars"),
-        exact_median(df, group, "ms", "median_ms", 4096),
-        confusion(df.filter("y is not null"), group, "bp", "y", half),
-        brier(df, group, "bp", "y", unit).drop("n", "n_pos"),
-        rank_auc(df, group, "bp", "y").drop("n_pos", "n_neg"),
+        exact_median(df, group, "chars", "median_chars", 4096),
+        exact_median(df, group, "ms", "median_ms", 1 << 18),
+        confusion(cells, group, "bp", "y", half, "w"),
+        brier(cells, group, "bp", "y", unit, "w").drop("n", "n_pos"),
+        rank_auc(cells, group, "bp", "y", "w").drop("n_pos", "n_neg"),
     ):
         out = out.join(part, group, "left")
     return out.withColumn("parse_rate", share(F.col("parsed"), F.col("n"))).withColumn("truncation_rate", share(F.col("truncated"), F.col("n"))).withColumn(
