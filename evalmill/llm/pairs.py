@@ -24,6 +24,8 @@ from . import languages, truncation
 MIN_GRAMS, MARGIN = 20, 0.4
 #: The margin a reply must have in all, so that a few words decide nothing.
 TOTAL_MARGIN = 18
+#: Margin per n-gram from which a prompt's language is sure.
+SURE = 0.3
 #: Share of the prompts below which a language is no language of prompts.
 PROMPT_SHARE = 0.01
 #: Letters and digits a copy must have; less is an answer value that the prompt offers too.
@@ -89,7 +91,8 @@ def prompt_languages(items: DataFrame) -> DataFrame:
     """item_id, prompt (letters and digits) and language (1-based) of each item.
 
     The language is the best among those that at least PROMPT_SHARE of all prompts have; their
-    shares are the priors, of which only the support matters at this length.
+    shares are the priors, of which only the support matters at this length. A prompt without a clear
+    language, such as one that is nothing but an error page, has none.
     """
     one = items.groupBy("item_id").agg(F.min("prompt").alias("prompt"))
     scored = _languages(one.withColumn("text", F.col("prompt")), "item_id", "text", ["prompt"])
@@ -97,7 +100,9 @@ def prompt_languages(items: DataFrame) -> DataFrame:
     rows = {r["l"]: r["n"] for r in shares.collect()}  # one row per language
     used = [k for k, n in rows.items() if n >= PROMPT_SHARE * sum(rows.values())] or list(range(1, len(languages.LANGUAGES) + 1))
     allowed = F.transform("scores", lambda s, i: F.when((i + 1).isin(used), s).otherwise(F.lit(-1e9).cast("float")))
-    language = F.when(F.col("grams") >= MIN_GRAMS, F.array_position(allowed, F.array_max(allowed)).cast("int"))
+    top = F.sort_array(allowed, asc=False)
+    sure = (F.col("grams") >= MIN_GRAMS) & ((len(used) == 1) | (top[0] - top[1] > SURE))
+    language = F.when(sure, F.array_position(allowed, F.array_max(allowed)).cast("int"))
     return scored.select("item_id", _alnum(F.col("prompt")).alias("prompt"), language.alias("language"))
 
 

@@ -45,7 +45,7 @@ PATTERNS = {
     "bare": r"(?i)^(?:[^\p{L}\p{Nd}]|boxed|think|answer|nbsp|br|text|final|endg[uü]ltige|meine|my|ma|mi|respuesta|r[ée]ponse|antwort|finale?|risposta|resposta|result|output|null|none)*$",
     # signs at the end that no whole text has: broken bytes, an open marker or quote, the start of a
     # list entry, a probability cut after its point
-    "open": r"(?s)(?:\x{FFFD}|\\boxed\{(?:[^{}]|\{[^{}]*\})*|\\bo?x?e?d?|\n[-•*]|[,;]|[„«][^“”»\"]*"
+    "open": r"(?s)(?:\x{FFFD}|\\boxed\{(?:[^{}]|\{[^{}]*\})*(?:\{[^{}]*)?|\\bo?x?e?d?|\n[-•*]|[,;]|[„«][^“”»\"]*"
             r"|(?i)(?:(?:answer|antwort|respuesta|réponse|risposta|resposta|ответ|答案)\s*[:：]\s*\**(?:0?\.?)|(?:my|final|meine|mi|ma) (?:answer|antwort|respuesta|réponse)|(?:so i choose|i settle on|p =)\s*\**(?:0?\.?)))$",
     "capital": r"\p{Lu}[\p{L}'’]*",
     "last_word": r"\p{L}+$",
