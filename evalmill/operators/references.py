@@ -25,8 +25,10 @@ def orphan_references(refs: DataFrame, parents: DataFrame, hot_rows: int = HOT_R
     for ever. States: ``missing`` if the domain never has the key, ``deleted`` if it had it before or
     at t but not any more, otherwise ``late``. A NULL fk is missing; a NULL t counts as before all
     time. Repeated references each count; repeated parents do not matter. Empty parents make every
-    reference missing; empty references give an empty result.
+    reference missing; empty references give an empty result; other columns do not matter.
     """
+    refs = refs.select("ref_table", "ref_column", "ref_key", "ref_month", "domain", "fk", "t")
+    parents = parents.select("domain", "fk", "t_from", "t_until")
     start = F.coalesce(F.col("t_from"), F.lit(BEFORE_ALL))
     events = F.array(
         # known from the start of time, so that any reference sees whether the key exists at all

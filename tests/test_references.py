@@ -50,3 +50,9 @@ def test_repeated_references_each_count(spark):
     out = references.orphan_references(refs, spark.createDataFrame([], PARENTS))
     assert out.count() == 3
     assert references.orphan_report(out).first()["n_orphans"] == 3
+
+
+def test_other_columns_do_not_matter(spark):
+    refs = spark.createDataFrame([("t", "c", "1", "m", "d", "x", 1, 5, "z", 7)], REFS + ", salts int, h_fk string, open int")
+    parents = spark.createDataFrame([("d", "x", 0, None, 3, 4)], PARENTS + ", salts int, known int")
+    assert references.orphan_references(refs, parents).count() == 0
