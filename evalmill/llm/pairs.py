@@ -114,7 +114,7 @@ def defective_pairs(replies: DataFrame, items: DataFrame, corpus: DataFrame) ->
     """
     bare = F.col("text").isNull() | F.col("text").rlike(EMPTY)
     answered = F.substring("text", -240, 240).rlike(ANSWERED)
-    plain = replies.withColumn("bare", F.coalesce(bare, F.lit(True))).withColumn("open", ~F.col("bare") & ~answered)
+    plain = replies.select("row_id", "item_id", "text").withColumn("bare", F.coalesce(bare, F.lit(True))).withColumn("open", ~F.col("bare") & ~answered)
     refused = F.when(F.col("open"), F.col("text").rlike(REFUSAL)).otherwise(False)
     # only a reply that gives no answer can be nothing but the prompt; the others need not travel
     pieces = F.filter(F.transform(F.split(F.col("text"), r"[\r\n]+"), lambda s: _alnum(F.regexp_replace(s, _LABEL, ""))), lambda s: s != "")

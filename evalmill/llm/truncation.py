@@ -69,7 +69,7 @@ def _words(sentence: str) -> str:
 
 def truncated_texts(rows: DataFrame) -> DataFrame:
     """row_id of the truncated rows of (row_id, text)."""
-    spark = rows.sparkSession
+    spark, rows = rows.sparkSession, rows.select("row_id", "text")
     # lateral views keep costly expressions from being copied into every place that uses them; outer
     # ones where the optimizer would else evaluate the exploded expression once more in a filter
     bodies = _sql(
