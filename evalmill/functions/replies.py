@@ -216,6 +216,28 @@ def choice_verdict(kind: Column, gold: Column, text: Column, finish_reason: Colu
 
 
 def reader_verdict(reply: Column) -> Column:
-    """The one verdict a reader's reply names; NULL on none or on two that conflict."""
-    found = F.array_distinct(F.regexp_extract_all(F.upper(_text(reply)), F.lit(r"\b(COMPLETE|TRUNCATED|NO_ANSWER)\b"), 1))
-    return F.when(F.size(found) == 1, F.element_at(found, 1))
+    """The verdict a reader's reply states on lines that start with ``verdict:``.
+
+    NULL without such a line, if lines disagree, or if a line names a second verdict outside of a
+    parenthesis that closes it.
+    """
+    word = r"(?:complete|truncated|no_answer|unclear)"
+    stated = rf"(?i)^\s*verdict:\s*({word})\b(.*)$"
+    lines = F.filter(F.split(_text(reply), r"\r?\n"), lambda x: x.rlike(stated))
+    rest = F.transform(lines, lambda x: F.regexp_extract(x, stated, 2))
+    torn = F.exists(rest, lambda x: x.rlike(rf"(?i)\b{word}\b") & ~x.rlike(r"^\s*\(.*\)\s*$"))
+    named = F.array_distinct(F.transform(lines, lambda x: F.upper(F.regexp_extract(x, stated, 1))))
+    one = F.get(named, F.lit(0))
+    return F.when(~torn & (F.size(named) == 1), F.when(one == "UNCLEAR", "UNDECIDED").otherwise(one))
+
+
+def extracted_probability(reply: Column) -> Column:
+    """struct(readable, prob) of an extractor's ``PROB:`` line; NONE is a readable abstention.
+
+    An unreadable reply is an error, not an abstention: callers refuse rows that are not readable.
+    """
+    line = r"(?im)PROB:\s*(NONE|[01](?:\.\d+)?|\.\d+)\s*$"
+    value = _group(_text(reply), line)
+    prob = value.try_cast("double")
+    readable = value.isNotNull() & ((F.upper(value) == "NONE") | F.coalesce(prob.between(0.0, 1.0), F.lit(False)))
+    return F.struct(readable.alias("readable"), F.when(readable, prob).alias("prob"))

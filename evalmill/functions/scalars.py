@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Tokens kept free in a context, the allowance for a prompt, statuses by meaning.
 CONTEXT_MARGIN = 512
 PROMPT_ALLOWANCE = 400
+LONG_CONTEXT = 8192
+FIXED_BUDGET = 4096
 ACCOUNT_STATUS = (401, 402, 403)
 REQUEST_STATUS = (400, 404, 405, 412, 413, 422)
 RETRY_STATUS = (429, 500, 502, 503, 504)
@@ -35,6 +37,11 @@ def servable_output(ceiling: Column, context: Column, prompt_chars: Column) -> C
     return F.when(none, ceiling).otherwise(F.greatest(F.lit(1), F.least(ceiling, room))).cast("bigint")
 
 
+def local_budget(context: Column, prompt_chars: Column) -> Column:
+    """Output tokens for a local model: a fixed number if its context is long, else what the prompt leaves, 256 at least."""
+    return F.when(context > LONG_CONTEXT, F.lit(FIXED_BUDGET)).otherwise(F.greatest(F.lit(256), context - (F.floor(prompt_chars / 3) + 64))).cast("bigint")
+
+
 def fault_policy(status: Column, error_type: Column, error: Column, retry_after: Column, transport: Column) -> Column:
     """TRANSIENT, TERMINAL_ACCOUNT or TERMINAL_REQUEST; the first rule that holds decides."""
     gone = (status == 429) & F.coalesce(error, F.lit("")).rlike(EXHAUSTED) & (retry_after.isNull() | F.isnan(retry_after))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import uuid
 
 import pandas as pd
 from pyspark.sql import Window
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from .. import ids
 from ..functions import replies, scalars, verdicts
 from ..operators import gates, ranking, sequences
-from ..session import month_of, table
+from ..session import checkpoint_dir, month_of, table
+from ..sources import schema
+from ..streaming import incremental
 from . import views
 from .evaluation import query
 
@@ -571,3 +574,50 @@ def roster_facts(spark, d):
         "model", (c("weights") == "open").alias("is_open"), F.coalesce("cap", "context_tokens").alias("ceiling"), F.when(c("cap").isNull(), "context").otherwise("declared").alias("basis_of_cap"),
         F.coalesce(F.try_element_at("field_sources", F.lit("cap")), F.lit("-")).alias("cap_source"), (c("cutoff") < views.ANCHOR).alias("before_anchor"),
     )
+
+
+@query("envelope_violations", """with k as (select raw_id, json_valid(response) as ok, case when json_valid(response) then response else 'null' end as r from raw_responses),
+    t as (select raw_id, ok, json_type(r) as top, json_type(r, '$.choices') as ch, coalesce(json_array_length(r, '$.choices'), 0) as n, json_type(r, '$.choices[0]') as c0, json_type(r, '$.choices[0].finish_reason') as fr, json_type(r, '$.choices[0].message') as msg,
+        json_type(r, '$.choices[0].message.content') as co, json_type(r, '$.choices[0].message.tool_calls') as tc, coalesce(json_array_length(r, '$.choices[0].message.tool_calls'), 0) as ntc, json_type(r, '$.usage') as us from k),
+    x as (select *, top = 'OBJECT' and ch = 'ARRAY' and n > 0 as listed, top = 'OBJECT' and ch = 'ARRAY' and n > 0 and c0 = 'OBJECT' as chosen, coalesce(top = 'OBJECT' and ch = 'ARRAY' and n > 0 and c0 = 'OBJECT' and msg = 'OBJECT', false) as spoken from t)
+    select rule, count(*) as n from (select unnest(list_filter([case when not ok then 'envelope_not_json' end, case when ok and top <> 'OBJECT' then 'envelope_not_object' end, case when top = 'OBJECT' and (ch is null or ch = 'NULL') then 'choices_missing' end,
+        case when top = 'OBJECT' and ch not in ('ARRAY', 'NULL') then 'choices_not_list' end, case when top = 'OBJECT' and ch = 'ARRAY' and n = 0 then 'choices_empty' end, case when listed and n <> 1 then 'choices_count_unexpected' end, case when listed and c0 <> 'OBJECT' then 'choice_not_object' end,
+        case when chosen and fr is null then 'finish_reason_missing' end, case when chosen and coalesce(msg <> 'OBJECT', true) then 'message_missing' end, case when spoken and co is null then 'content_missing' end, case when spoken and co = 'ARRAY' then 'content_is_parts_array' end,
+        case when spoken and co not in ('VARCHAR', 'NULL', 'ARRAY') then 'content_not_string' end, case when spoken and ((tc = 'ARRAY' and ntc > 0) or tc not in ('ARRAY', 'NULL')) then 'tool_calls_present' end, case when spoken and us not in ('OBJECT', 'NULL') then 'usage_not_object' end], lambda v: v is not null)) as rule from x) group by 1""")
+def envelope_violations(spark, d):
+    """MF11: how reply bodies break the rules of their form; any number of choices but one breaks one."""
+    return schema.envelope_violations(table(spark, d, "raw_responses"), "raw_id", "response").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("canonical_replies")
+def canonical_replies(spark, d):
+    """MF12, MF13: what valid bodies say, from the one channel that counts."""
+    return schema.canonical_replies(table(spark, d, "raw_responses"), "raw_id", "response").withColumnRenamed("row_id", "raw_id")
+
+
+@query("post_run_review", """with s as (select model, item_id, arm, max_by(verdict, rec_seq) as reviewed from rec where completeness_by = 'layer2' and verdict is not null group by 1, 2, 3)
+    select r.rec_seq, r.verdict as provisional, coalesce(s.reviewed, 'UNREVIEWED') as reviewed, coalesce(s.reviewed = r.verdict, false) as agreed from rec r left join s using (model, item_id, arm) where r.completeness_by = 'layer1-deferred' and r.verdict is not null""", "rec")
+def post_run_review(spark, d):
+    """JN23: a later reading beside the provisional verdict, which it never replaces; an unread reply is no agreement."""
+    r = views.records(spark, d).filter("verdict is not null")
+    keys = ["model", "item_id", "arm"]
+    side = r.filter("completeness_by = 'layer2'").groupBy(*keys).agg(F.max_by("verdict", "rec_seq").alias("reviewed"))
+    return r.filter("completeness_by = 'layer1-deferred'").join(side, keys, "left").select(
+        "rec_seq", F.col("verdict").alias("provisional"), F.coalesce("reviewed", F.lit("UNREVIEWED")).alias("reviewed"), F.coalesce(F.col("reviewed") == F.col("verdict"), F.lit(False)).alias("agreed")
+    )
+
+
+@query("stream_ledger", "select attempt_id, min(entry_id) as entry_id from ledger group by 1")
+def stream_ledger(spark, d):
+    """SR01, SR03, SK03, SK05: the ledger read as a stream of files and stored once per attempt, in the shared folder."""
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    entries = table(spark, d, "ledger").select("attempt_id", "entry_id").schema
+    stream = spark.readStream.schema(entries).parquet(f"{d}/ledger*")
+    incremental.run_to_end(stream, incremental.first_wins_sink(spark, f"{base}/out", "attempt_id", "entry_id"), f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("attempt_id", "entry_id")
+
+
+@query("local_budgets", "select model, context_tokens, case when context_tokens > 8192 then 4096 else greatest(256, context_tokens - (600 // 3 + 64)) end::bigint as budget from roster")
+def local_budgets(spark, d):
+    """MF04: output budgets for a prompt of 600 characters."""
+    return table(spark, d, "roster").select("model", "context_tokens", scalars.local_budget(F.col("context_tokens"), F.lit(600)).alias("budget"))

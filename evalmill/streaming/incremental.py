@@ -8,6 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -83,3 +84,27 @@ def states_of(events: DataFrame, limit: int = 3) -> DataFrame:
     e = events.groupBy("model").agg(F.count_if(F.col("kind") == "bad").alias("defects"), F.max_by("kind", "seq").alias("last"))
     state = F.when(F.col("defects") >= limit, "QUARANTINED").when(F.col("last") == "fault", "PAUSED").otherwise("ACTIVE")
     return e.select("model", F.col("defects").cast("int").alias("defects"), state.alias("state"))
+
+
+class Progress(StreamingQueryListener):
+    """Says how far a stream is, every so many rows."""
+
+    def __init__(self, say=print, every: int = 20):
+        self.say, self.every, self.rows, self.said = say, every, 0, 0
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        """Nothing yet."""
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        """Counts the batch's rows."""
+        self.rows += event.progress.numInputRows
+        if self.rows - self.said >= self.every:
+            self.said = self.rows
+            self.say(f"{self.rows} rows, batch {event.progress.batchId}")
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        """Nothing to say."""
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        """The total."""
+        self.say(f"{self.rows} rows in all")

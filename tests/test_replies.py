@@ -117,3 +117,11 @@ def test_closing_probability_on_generated(spark, seed):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [(r["v"]["prob"], r["v"]["compliant"]) for r in df.select("i", replies.closing_probability(F.col("t")).alias("v")).orderBy("i").collect()]
     assert got == [_closing(t) for t in texts]
+
+
+def test_reader_and_extractor(spark):
+    rows = [("Verdict: COMPLETE", "COMPLETE"), ("x\nverdict: unclear (not complete)", "UNDECIDED"), ("verdict: complete or truncated", None), ("verdict: complete\nverdict: truncated", None), ("complete", None), (None, None)]
+    df = spark.createDataFrame(rows, "t string, w string")
+    assert all(r["v"] == r["w"] for r in df.select("w", replies.reader_verdict(F.col("t")).alias("v")).collect())
+    df = spark.createDataFrame([("so\nPROB: 0.35 ",), ("prob: none",), ("PROB: 1.7",), ("0.3",), ("",)], "t string")
+    assert [(r["p"]["readable"], r["p"]["prob"]) for r in df.select(replies.extracted_probability(F.col("t")).alias("p")).collect()] == [(True, 0.35), (True, None), (False, None), (False, None), (False, None)]
