@@ -32,6 +32,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in fewer partitions than there are cores.
+
+    For costly work per row on small files; a table of many files is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def utc(ts):
     """A timestamp column moved so that formatting it in the session's zone prints UTC."""
     return F.to_utc_timestamp(ts, F.current_timezone())
