@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Separates the texts of a batch; part of no n-gram.
 _GAP = "\x00"
 
@@ -60,7 +62,7 @@ def corpus_counts(df: DataFrame, text: str, n: int, buckets: int, prepare: Calla
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i * buckets + j), pa.array(total[i, j])], names=["cell", "n"])
 
-    sums = df.select(*cols).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    sums = spread(df.select(*cols)).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(names) * buckets, np.int64)
     out[sums["cell"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
     return out.reshape(len(names), buckets)

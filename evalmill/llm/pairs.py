@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import languages, truncation
 
 #: N-grams a reply must have to show a language, and the margin per n-gram over the prompt's.
@@ -80,7 +81,7 @@ def _languages(df: DataFrame, key: str, text: str, carry: list[str]) -> DataFram
             )
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *carry)) + ", grams int, scores array<float>"
-    return df.select(key, *carry, text).mapInArrow(run, schema)
+    return spread(df.select(key, *carry, text)).mapInArrow(run, schema)
 
 
 def _best(scores: str) -> Column:

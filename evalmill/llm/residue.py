@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import ngrams
 
 N, BUCKETS = 4, 1 << 18
@@ -149,4 +150,4 @@ def residue_rows(df: DataFrame, key: str, text: str) -> DataFrame:
                     covered.append(float(inside.sum() / len(inside)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(number, pa.int32()), pa.array(covered, pa.float64())], names=["key", "n_spans", "covered"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n_spans int, covered double")
+    return spread(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))).mapInArrow(run, f"key {kind}, n_spans int, covered double")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from . import languages
 
 TERMS = 1 << 16
@@ -115,7 +115,7 @@ def _masked(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> Dat
     """(text, mask): the bit mask of each document's labels, 0 without any."""
     bit = F.create_map(*[F.lit(x) for i, s in enumerate(subjects) for x in (s, 1 << i)])
     masks = labels.filter(F.col("subject").isin(subjects)).select("doc_id", bit[F.col("subject")].alias("b")).groupBy("doc_id").agg(F.bit_or("b").cast("bigint").alias("mask"))
-    return documents.select("doc_id", "text").join(masks, "doc_id", "left").select("text", F.coalesce("mask", F.lit(0)).cast("bigint").alias("mask"))
+    return spread(documents.select("doc_id", "text")).join(masks, "doc_id", "left").select("text", F.coalesce("mask", F.lit(0)).cast("bigint").alias("mask"))
 
 
 def _rows(masked: DataFrame, components: np.ndarray | None, tongues: list[int]) -> DataFrame:
@@ -253,7 +253,7 @@ def mixtures(documents: DataFrame, subjects: list[str], components: np.ndarray)
                     share.append(n / total)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(subject, pa.string()), pa.array(number, pa.int32()), pa.array(share, pa.float64())], names=["doc_id", "subject", "n_sentences", "share"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, subject string, n_sentences int, share double")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, subject string, n_sentences int, share double")
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, share: float = SHARE) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Default vocabulary file; it must be readable at this path on every executor.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Characters encoded at once, so that one batch of long texts stays small in memory.
@@ -39,4 +41,4 @@ def sized(df: DataFrame, text: str, carry: list[str], tokenizer: str = TOKENIZER
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(sizes, pa.int64())], names=[*carry, "tokens"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", tokens bigint"
-    return df.select(*carry, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return spread(df.select(*carry, F.col(text).cast("string").alias("_text"))).mapInArrow(run, schema)
