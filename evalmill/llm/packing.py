@@ -58,7 +58,7 @@ class RoomTree:
 
 
 def pack(sizes: list[int], capacity: int) -> tuple[list[list[tuple[int, int]]], list[int]]:
-    """(for each text its (container, tokens) pieces, the fill of each container); sizes in decreasing order of their rests is not needed."""
+    """(for each text its (container, tokens) pieces, the fill of each container), by best fit decreasing."""
     pieces: list[list[tuple[int, int]]] = [[] for _ in sizes]
     fill: list[int] = []
     rests = []

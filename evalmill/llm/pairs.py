@@ -81,7 +81,7 @@ def _languages(df: DataFrame, key: str, text: str, carry: list[str]) -> DataFram
             )
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *carry)) + ", grams int, scores array<float>"
-    return spread(df.select(key, *carry, text)).mapInArrow(run, schema)
+    return df.select(key, *carry, text).mapInArrow(run, schema)
 
 
 def _best(scores: str) -> Column:
@@ -123,7 +123,7 @@ def defective_pairs(replies: DataFrame, items: DataFrame, corpus: DataFrame) ->
         "row_id", "item_id", "bare", refused.alias("refused"), F.when(F.col("open"), pieces).alias("pieces"),
         F.when(~F.col("bare"), F.col("text")).alias("text"),
     )
-    scored = _languages(flagged, "row_id", "text", ["item_id", "bare", "refused", "pieces"])
+    scored = _languages(spread(flagged), "row_id", "text", ["item_id", "bare", "refused", "pieces"])
     joined = scored.join(prompt_languages(items), "item_id")
     total = F.length(F.array_join("pieces", ""))
     repeated = F.aggregate("pieces", F.lit(0), lambda n, s: n + F.when(F.contains(F.col("prompt"), s), F.length(s)).otherwise(0))
