@@ -36,6 +36,7 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if it comes in fewer partitions than there are cores.
 
     For costly work per row on small files; a table of many files is left as it is, without a shuffle.
+    df must be read without a shuffle, as counting its partitions would run one.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
