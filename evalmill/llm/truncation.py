@@ -1,6 +1,6 @@
 r"""Text cut off by field limits, in SQL.
 
-Every text is split into sentences with digits and names made alike; equal sentences are counted
+Every distinct text is split into sentences with digits and names made alike; equal sentences are counted
 before anything else, so the trigram table is built from distinct sentences with their counts. A
 trigram is counted inside (more words follow in its sentence) and at ends. The last trigram of a text
 without a closing mark is joined to these counts: frequent inside but almost never at an end means
@@ -8,7 +8,7 @@ the text was cut. A last word that never stands there but begins words that do w
 word. Open answer markers, quotes and broken bytes at the end are exact signs.
 
 Defined cases: NULL, blank and bare-label texts are not truncated (they are empty); repeated rows are
-judged alike, each on its own; a text without evidence either way is not truncated; texts are read
+judged alike, each on its own, and count once; a text without evidence either way is not truncated; texts are read
 whole whatever their length. Table sizes follow the number of distinct trigrams, not of rows.
 """
 
@@ -79,16 +79,22 @@ def truncated_texts(rows: DataFrame) -> DataFrame:
         from {rows} lateral view explode(array(if(right(text, 3) rlike :may_tail, regexp_replace(text, :tail, ''), text))) as body where text is not null""",
         rows=rows,
     )
-    # 1. distinct sentences with their counts; the unmarked last piece of a text is kept apart
-    counted = _sql(
+    # 1. distinct sentences and names with their counts over distinct texts, as copies of one cut text
+    # would else vouch for its end; the unmarked last piece of a text is kept apart
+    texts = _sql(spark, "select distinct body, closed from {bodies}", bodies=bodies)
+    pieces = _sql(
         spark,
         f"""
-        select s, stop, count(*) as n from (
-            select trim(s) as s, i = size(ss) - 1 and not closed as stop
-            from (select {_sentences('body')} as ss, closed from {{bodies}}) lateral view outer posexplode(ss) as i, s
-        ) where s <> '' group by s, stop""",
-        bodies=bodies,
+        select s, kind, count(*) as n from (
+            select trim(s) as s, case when i >= size(ss) then 'name' when i = size(ss) - 1 and not closed then 'stop' else 'inside' end as kind
+            from (
+                select {_sentences('body')} as ss, regexp_extract_all(if(closed, body, regexp_replace(body, :last_word, '')), :capital, 0) as names, closed from {{texts}})
+            lateral view outer posexplode(concat(ss, names)) as i, s
+        ) where s <> '' group by s, kind""",
+        texts=texts,
     )
+    pieces = cut_lineage(pieces)
+    counted = _sql(spark, "select s, kind = 'stop' as stop, n from {pieces} where kind <> 'name'", pieces=pieces)
     # 2. word runs inside and at ends: trigrams, and runs of five where there is such a history
     runs = _sql(
         spark,
@@ -124,12 +130,7 @@ def truncated_texts(rows: DataFrame) -> DataFrame:
         pairs=pairs,
     )
     # names are alike in the runs; their own spelling tells whether one was cut inside
-    names = _sql(
-        spark,
-        "select w, count(*) as n from {bodies} lateral view outer explode(regexp_extract_all(if(closed, body, regexp_replace(body, :last_word, '')), :capital, 0)) as w where w is not null group by w",
-        bodies=bodies,
-    )
-    names = cut_lineage(names)
+    names = _sql(spark, "select s as w, n from {pieces} where kind = 'name'", pieces=pieces)
     cut_names = _sql(
         spark,
         "select substring(w, 1, k) as w, sum(n) as n_longer from {names} lateral view explode(sequence(1, length(w) - 1)) as k where length(w) > 1 group by 1",
