@@ -41,8 +41,8 @@ def count_texts(texts: list[str], n: int, buckets: int) -> np.ndarray:
     return np.bincount(hashed(texts, n, buckets)[0], minlength=buckets)
 
 
-def corpus_counts(df: DataFrame, text: str, n: int, buckets: int, prepare: Callable[[str], str], label: str | None = None, labels: list[str] | None = None) -> np.ndarray:
-    """Counts (labels x buckets, one row without labels) over every text of df.
+def corpus_counts(df: DataFrame, text: str, n: int, buckets: int, prepare: Callable[[str], str], label: str | None = None, labels: list[str] | None = None, distinct: bool = False) -> np.ndarray:
+    """Counts (labels x buckets, one row without labels) over every text of df, or over its distinct texts.
 
     NULL texts and texts of other labels count nothing. At most labels x buckets sums are collected.
     """
@@ -62,7 +62,8 @@ def corpus_counts(df: DataFrame, text: str, n: int, buckets: int, prepare: Calla
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i * buckets + j), pa.array(total[i, j])], names=["cell", "n"])
 
-    sums = spread(df.select(*cols)).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = df.select(*cols)
+    sums = (rows.distinct() if distinct else spread(rows)).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(names) * buckets, np.int64)
     out[sums["cell"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
     return out.reshape(len(names), buckets)

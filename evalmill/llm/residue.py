@@ -1,7 +1,8 @@
 """Template residue, filler, error pages and script notices in place of a text's own content.
 
 Character n-gram models of slots, filler and notices are fitted on seeds written here, the model of
-natural prose on every text of the corpus itself. Windows in which a residue model beats prose are
+natural prose on the distinct texts of the corpus itself, without what has the form of a slot or a
+stock phrase, so that common residue does not become prose. Windows in which a residue model beats prose are
 localised and merged to spans. A long span is residue by its coverage; a short one is residue if an
 exact check of the span, grown to whole tokens, finds an unfilled slot, a blank or a stock phrase.
 Talk about such things is natural prose of the corpus and forms no long span.
@@ -91,11 +92,19 @@ def prepared(text: str) -> str:
     return re.sub(r"\s", " ", re.sub(r"\d", "0", low if len(low) == len(text) else text))
 
 
+def prose(text: str) -> str:
+    """The text as prose counts it: prepared, with a gap in place of whatever has the form of residue."""
+    return prepared(_STOCK.sub("\x00", _SLOT.sub("\x00", text)))
+
+
 def fit(corpus: DataFrame, text: str) -> np.ndarray:
-    """Log ratio of each bucket: the best residue model against prose; fitted over every text of corpus."""
-    prose = ngrams.log_probabilities(ngrams.corpus_counts(corpus, text, N, BUCKETS, prepared), FLOOR)
+    """Log ratio of each bucket: the best residue model against prose; fitted over the distinct texts of corpus.
+
+    Neither copies of a text nor residue that many texts hold make residue prose.
+    """
+    natural = ngrams.log_probabilities(ngrams.corpus_counts(corpus, text, N, BUCKETS, prose, distinct=True), FLOOR)
     seeds = np.stack([ngrams.count_texts([f" {prepared(s)}{end}" for s in v for end in (" ", ".", ", ")], N, BUCKETS) for v in seed_texts().values()])
-    return (ngrams.log_probabilities(seeds, FLOOR) - prose).astype(np.float32)
+    return (ngrams.log_probabilities(seeds, FLOOR) - natural).astype(np.float32)
 
 
 def spans(text: str, ratios: np.ndarray) -> list[tuple[int, int, float]]:

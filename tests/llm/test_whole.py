@@ -1,8 +1,12 @@
 """Nothing is lost to repetition: what one text repeated often does to the counts over the corpus."""
 
-from evalmill.llm import truncation
+import random
 
-from test_texts import _cut_rows
+import pytest
+
+from evalmill.llm import residue, truncation
+
+from test_texts import _cut_rows, _text
 
 
 def test_copies_of_a_cut_text_do_not_vouch_for_its_end(spark):
@@ -12,3 +16,13 @@ def test_copies_of_a_cut_text_do_not_vouch_for_its_end(spark):
     df = spark.createDataFrame(rows, "row_id bigint, text string")
     assert text.endswith("Seasonal effects do not se")
     assert {r["row_id"] for r in truncation.truncated_texts(df).collect()} == cut | set(range(100000, 100600))
+
+
+@pytest.mark.parametrize("copies", [True, False])
+def test_common_residue_does_not_become_prose(spark, copies):
+    rnd = random.Random(5)
+    clean = [(f"c{i}", _text(rnd)) for i in range(600)]
+    hosts = [(f"{_text(rnd, 3)} {{}} {_text(rnd, 3)}", s) for s in ("{{question}}", "TBD", "\nAccess denied\n")]
+    dirty = [(f"d{i}", (hosts[i % 3][0] if copies else f"{_text(rnd, 3)} {{}} {_text(rnd, 3)}").replace("{}", hosts[i % 3][1], 1)) for i in range(300)]
+    df = spark.createDataFrame(clean + dirty, "item_id string, prompt string")
+    assert {r["key"] for r in residue.residue_rows(df, "item_id", "prompt").collect()} == {k for k, _ in dirty}
