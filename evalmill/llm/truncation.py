@@ -47,6 +47,13 @@ PATTERNS = {
     # list entry, a probability cut after its point
     "open": r"(?s)(?:\x{FFFD}|\\boxed\{(?:[^{}]|\{[^{}]*\})*(?:\{[^{}]*)?|\\bo?x?e?d?|\n[-•*]|[,;]|[„«][^“”»\"]*"
             r"|(?i)(?:(?:answer|antwort|respuesta|réponse|risposta|resposta|ответ|答案)\s*[:：]\s*\**(?:0?\.?)|(?:my|final|meine|mi|ma) (?:answer|antwort|respuesta|réponse)|(?:so i choose|i settle on|p =)\s*\**(?:0?\.?)))$",
+    # those of the open signs that a point can end, for texts that seem closed by it
+    "cut_value": r"(?i)(?:(?:answer|antwort|respuesta|réponse|risposta|resposta|ответ|答案)\s*[:：]|\b(?:so i choose|i settle on|p =))\s*\**0?\.$",
+    "cut_item": r"\n[0-9]+\.$",
+    "pointed": r"[.!?。！？]$",
+    "open_box": r"\\boxed\{(?:[^{}]|\{[^{}]*\})*(?:\{[^{}]*)?$",
+    # an opening quote follows a blank; « after a letter closes one in German
+    "open_quote": r"(?:^|[\s(])[„«][^“”»\"\n]*$",
     "capital": r"\p{Lu}[\p{L}'’]*",
     "last_word": r"\p{L}+$",
     "last_name": r"(\p{Lu}[\p{L}'’]*)\P{L}*$",
@@ -136,16 +143,20 @@ def truncated_texts(rows: DataFrame) -> DataFrame:
         "select substring(w, 1, k) as w, sum(n) as n_longer from {names} lateral view explode(sequence(1, length(w) - 1)) as k where length(w) > 1 group by 1",
         names=names,
     )
-    # 4. last pieces of the texts that do not close
+    # 4. last pieces of the texts that do not close, and texts closed by a point that an exact sign shows to be cut;
+    # most texts fail the tests of their last characters, which come first
+    item = "coalesce(try_cast(regexp_extract(body, :item, 1) as bigint) + 1 = try_cast(regexp_extract(body, :item, 2) as bigint), false)"
+    signs = rf"""(right(body, 1) rlike :pointed and (right(body, 40) rlike :cut_value or right(body, 12) rlike :cut_item and {item}
+        or contains(body, '\\boxed{{{{') and body rlike :open_box or (contains(body, '„') or contains(body, '«')) and body rlike :open_quote))"""
     last = _sql(
         spark,
         f"""
         select row_id, exact, concat_ws(' ', get(pp, size(pp) - 5), get(pp, size(pp) - 4)) as w0, get(pp, size(pp) - 3) as w1, get(pp, size(pp) - 2) as w2,
-               if(size(pp) > 4, get(pp, size(pp) - 1), null) as w3, name
+               if(size(pp) > 4 and not closed, get(pp, size(pp) - 1), null) as w3, name
         from (
-            select row_id, nullif(regexp_extract(body, :last_name, 1), '') as name, {_sentences('body')} as ss,
-                   body rlike :open or coalesce(try_cast(regexp_extract(body, :item, 1) as bigint) + 1 = try_cast(regexp_extract(body, :item, 2) as bigint), false) as exact
-            from {{bodies}} where not closed and not body rlike :bare)
+            select row_id, closed, nullif(regexp_extract(body, :last_name, 1), '') as name, {_sentences('body')} as ss,
+                   closed or body rlike :open or {item} as exact
+            from {{bodies}} where (not closed or {signs}) and not body rlike :bare)
         lateral view explode(array(concat(array('^', '^', '^', '^'), {_words('element_at(ss, -1)')}))) as pp""",
         bodies=bodies,
     )

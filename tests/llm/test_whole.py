@@ -26,3 +26,13 @@ def test_common_residue_does_not_become_prose(spark, copies):
     dirty = [(f"d{i}", (hosts[i % 3][0] if copies else f"{_text(rnd, 3)} {{}} {_text(rnd, 3)}").replace("{}", hosts[i % 3][1], 1)) for i in range(300)]
     df = spark.createDataFrame(clean + dirty, "item_id string, prompt string")
     assert {r["key"] for r in residue.residue_rows(df, "item_id", "prompt").collect()} == {k for k, _ in dirty}
+
+
+def test_texts_cut_after_a_point(spark):
+    rows, cut = _cut_rows()
+    base = rows[0][1].rsplit("\n", 1)[0] + "\n"
+    ends = ["Answer: 0.", "Final answer: **0.", "So p = 0.", "\\boxed{0.", "\\boxed{The court of Arlon.", "Sie schrieb: „Die Bank wartet ab.", "1. One headline.\n2. Another headline.\n3."]
+    whole = ["Answer: 0.42.", "\\boxed{0.} is no value.", "Sie schrieb: „Die Bank wartet ab.“", "»Ja«, sagte sie.", "The answer was 3.", "In all there were\n3.", "Note: \\boxed{A} is the answer."]
+    rows += [(200000 + i, base + s) for i, s in enumerate(ends)] + [(300000 + i, base + s) for i, s in enumerate(whole)]
+    found = {r["row_id"] for r in truncation.truncated_texts(spark.createDataFrame(rows, "row_id bigint, text string")).collect()}
+    assert found == cut | {200000 + i for i in range(len(ends))}
