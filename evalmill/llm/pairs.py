@@ -117,17 +117,20 @@ def defective_pairs(replies: DataFrame, items: DataFrame, corpus: DataFrame) ->
     answered = F.substring("text", -240, 240).rlike(ANSWERED)
     plain = replies.select("row_id", "item_id", "text").withColumn("bare", F.coalesce(bare, F.lit(True))).withColumn("open", ~F.col("bare") & ~answered)
     refused = F.when(F.col("open"), F.col("text").rlike(REFUSAL)).otherwise(False)
-    # only a reply that gives no answer can be nothing but the prompt; the others need not travel
     pieces = F.filter(F.transform(F.split(F.col("text"), r"[\r\n]+"), lambda s: _alnum(F.regexp_replace(s, _LABEL, ""))), lambda s: s != "")
     flagged = plain.select(
-        "row_id", "item_id", "bare", refused.alias("refused"), F.when(F.col("open"), pieces).alias("pieces"),
+        "row_id", "item_id", "bare", "open", refused.alias("refused"), F.when(~F.col("bare"), pieces).alias("pieces"),
         F.when(~F.col("bare"), F.col("text")).alias("text"),
     )
-    scored = _languages(spread(flagged), "row_id", "text", ["item_id", "bare", "refused", "pieces"])
+    scored = _languages(spread(flagged), "row_id", "text", ["item_id", "bare", "open", "refused", "pieces"])
     joined = scored.join(prompt_languages(items), "item_id")
     total = F.length(F.array_join("pieces", ""))
     repeated = F.aggregate("pieces", F.lit(0), lambda n, s: n + F.when(F.contains(F.col("prompt"), s), F.length(s)).otherwise(0))
     copies = ((total >= MIN_COPY) & (repeated == total)) | ((repeated >= LONG_COPY) & (repeated >= COPIED_SHARE * total))
+    # what looks like an answer at the end is copied too if the prompt ends so, or if a long last line is the prompt's
+    last = F.get("pieces", F.size("pieces") - 1)
+    copied_end = F.endswith(F.col("prompt"), F.right(F.array_join("pieces", ""), F.lit(MIN_COPY))) | ((F.length(last) >= MIN_COPY) & F.contains(F.col("prompt"), last))
+    copies &= F.col("open") | copied_end
     ahead = F.array_max("scores") - F.get("scores", F.col("language") - 1)
     other = (F.col("grams") >= MIN_GRAMS) & (ahead > MARGIN) & (ahead * F.col("grams") > TOTAL_MARGIN) & ~F.col("bare")
     cut = truncation.truncated_texts(corpus).select("row_id", F.lit(True).alias("cut"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from evalmill.llm import residue, truncation
+from evalmill.llm import pairs, residue, truncation
 
 from test_texts import _cut_rows, _text
 
@@ -36,3 +36,16 @@ def test_texts_cut_after_a_point(spark):
     rows += [(200000 + i, base + s) for i, s in enumerate(ends)] + [(300000 + i, base + s) for i, s in enumerate(whole)]
     found = {r["row_id"] for r in truncation.truncated_texts(spark.createDataFrame(rows, "row_id bigint, text string")).collect()}
     assert found == cut | {200000 + i for i in range(len(ends))}
+
+
+def test_copies_of_a_prompt_that_ends_like_an_answer(spark):
+    rnd = random.Random(6)
+    ask = "Will the court of Arlon grant the settlement before 4 May? Both sides said that they would wait for the ruling."
+    prompts = {"percent": f"{ask}\nGive the chance that turnout will exceed 50%", "digits": f"{ask}\nanswer 0 or 1", "boxes": f"{ask}\n\\boxed{{Yes}} or \\boxed{{No}}"}
+    items = spark.createDataFrame(list(prompts.items()), "item_id string, prompt string")
+    copied = [(900, "percent", prompts["percent"]), (901, "digits", prompts["digits"]), (902, "boxes", prompts["boxes"]), (903, "percent", "Question: " + prompts["percent"].splitlines()[1])]
+    answered = [(800, "percent", ask + "\n50%"), (801, "digits", ask + "\n1"), (802, "boxes", ask + "\n\\boxed{Yes}"), (803, "digits", "1")]
+    rows = [*copied, *answered, *((i, "digits", _text(rnd) + " \\boxed{A}") for i in range(200))]
+    replies = spark.createDataFrame(rows, "row_id bigint, item_id string, text string")
+    out = pairs.defective_pairs(replies, items, replies.select("row_id", "text")).filter("defect = 'copies_question'").collect()
+    assert {r["row_id"] for r in out} == {r[0] for r in copied}
