@@ -1,7 +1,7 @@
 """Language posteriors from character n-gram naive Bayes.
 
-The models are trained here: on seeds in each language, and then on the corpus itself, every text
-counting for the language the seeds gave it with a clear margin.
+The models are trained here, on one paragraph of seed text in each language and not on the corpus, so
+rare wording and short replies rest on few n-grams; pairs asks for wide margins for that reason.
 """
 
 from __future__ import annotations
