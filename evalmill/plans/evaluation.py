@@ -123,14 +123,14 @@ def row_preview(spark, d):
 
 @query("plan_cross", """select r.model, i.item_id, a.arm, substr(sha256(r.model || chr(0) || i.item_id || chr(0) || a.arm), 1, 16) as unit from roster r, items i, (select 'original' as arm union all select 'cot') a where i.withdrawn_at is not null""", "items")
 def plan_cross(spark, d):
-    """JN21, JN22: the part of plan_grid over withdrawn items, to be run again."""
+    """The part of plan_grid over withdrawn items, to be run again."""
     picked = views.items(spark, d).filter("withdrawn_at is not null").select("item_id")
     return _cross(spark, d, picked)
 
 
 @query("plan_grid", """select r.model, i.item_id, a.arm, substr(sha256(r.model || chr(0) || i.item_id || chr(0) || a.arm), 1, 16) as unit from roster r, items i, (select 'original' as arm union all select 'cot') a""", "items")
 def plan_grid(spark, d):
-    """JN01: roster x items x arms, the one cross product that is wanted; every item."""
+    """JN01 without its collision check: roster x items x arms, the one cross product that is wanted; every item."""
     return _cross(spark, d, views.items(spark, d).select("item_id"))
 
 
