@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import ids
 from ..functions import replies, scalars, verdicts
 from ..operators import gates, ranking, sequences
-from ..session import checkpoint_dir, month_of, table
+from ..session import month_of, shared_folder, table
 from ..sources import schema
 from ..streaming import incremental
 from . import views
@@ -610,7 +610,7 @@ def post_run_review(spark, d):
 @query("stream_ledger", "select attempt_id, min(entry_id) as entry_id from ledger group by 1")
 def stream_ledger(spark, d):
     """SR01, SR03, SK03, SK05: the ledger read as a stream of files and stored once per attempt, in the shared folder."""
-    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     entries = table(spark, d, "ledger").select("attempt_id", "entry_id").schema
     stream = spark.readStream.schema(entries).parquet(f"{d}/ledger*")
     incremental.run_to_end(stream, incremental.first_wins_sink(spark, f"{base}/out", "attempt_id", "entry_id"), f"{base}/state")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,25 +16,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one is made only where none is set (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it in spark.checkpoint.dir.
+
+    Where none is named, a local master, whose executors are this machine, uses one beside Spark's own
+    scratch files; on a cluster that is an error.
+    """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="evalmill-ckpt-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"{sc.getConf().get('spark.local.dir', '/tmp')}/evalmill-{sc.applicationId}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of df in the shared folder; survives the loss of any executor."""
-    checkpoint_dir(df.sparkSession)
+    """Reliable checkpoint of df in the shared folder; survives the loss of any executor.
+
+    Spark deletes it once df is no longer used, if spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """df as a table in the shared folder, for work that ends inside the block; it is deleted then."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if it comes in fewer partitions than there are cores.
 
