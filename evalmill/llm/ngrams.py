@@ -19,21 +19,25 @@ from ..session import spread
 _GAP = "\x00"
 
 
-def hashed(texts: list[str], n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text number) of every n-gram of the texts, in order. buckets is a power of two."""
-    codes = np.frombuffer(_GAP.join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+def hashed_codes(codes: np.ndarray, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, text number, first place) of every n-gram of code points, in order; a zero separates texts. buckets is a power of two."""
     if len(codes) < n:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     width = len(codes) - n + 1
     h = np.zeros(width, np.uint64)
     for k in range(n):
         h = h * np.uint64(0x100000001B3) + codes[k : k + width]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x9E3779B97F4A7C15)
-    gap = codes == 0
-    before = np.concatenate(([0], np.cumsum(gap)))
-    inside = before[n:] == before[:width]  # no separator in the n-gram
-    return (h[inside] >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64), before[:width][inside]
+    before = np.concatenate(([0], np.cumsum(codes == 0)))
+    inside = np.flatnonzero(before[n:] == before[:width])  # no separator in the n-gram
+    return (h[inside] >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64), before[inside], inside
+
+
+def hashed(texts: list[str], n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text number) of every n-gram of the texts, in order."""
+    codes = np.frombuffer(_GAP.join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return hashed_codes(codes, n, buckets)[:2]
 
 
 def count_texts(texts: list[str], n: int, buckets: int) -> np.ndarray:

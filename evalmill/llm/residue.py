@@ -1,162 +1,423 @@
 """Template residue, filler, error pages and script notices in place of a text's own content.
 
-Character n-gram models of slots, filler and notices are fitted on seeds written here, the model of
-natural prose on the distinct texts of the corpus itself, without what has the form of a slot or a
-stock phrase, so that common residue does not become prose. Windows in which a residue model beats prose are
-localised and merged to spans. A long span is residue by its coverage; a short one is residue if an
-exact check of the span, grown to whole tokens, finds an unfilled slot, a blank or a stock phrase.
-Talk about such things is natural prose of the corpus and forms no long span.
-
-Defined cases: NULL and blank texts hold no residue; texts are scored whole, whatever their length;
-repeated texts are scored alike; an empty corpus gives an empty result.
+Character n-gram models of natural prose, filler and notices, and of natural notation and unfilled
+slots over the shape of the text (a word is one character there, so a slot's name does not matter),
+are fitted on seeds written here and then on the corpus itself, in rounds: what the models so far
+take for residue counts for its class, the rest for prose. A gram counts once per distinct text, and
+prose counts are reduced by one, so neither copies of a text nor its own wording make it prose.
+Windows in which a residue class is likelier than prose are merged to spans, and spans decide by
+what they cover: wording that covers most of its sentence, or is long by itself, and a slot by the
+ratio over its whole span. Talk about such things covers little of its sentence; wording in
+quotation marks is mentioned, not left over (the one exact check).
+
+The seeds are general wordings, the phrases of HTTP and of the system as the standard library lists them, and the standard passage of
+filler Latin. Defined cases: NULL and blank texts hold no residue; texts are scored whole, whatever
+their length; repeated texts are scored alike; an empty corpus gives an empty result.
 """
 
 from __future__ import annotations
 
+import errno
+import os
 import re
 from collections.abc import Iterator
+from functools import cache
+from http import HTTPStatus
+from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
-from . import ngrams
+from ..session import spread, stored
+from . import languages, ngrams
 
-N, BUCKETS = 4, 1 << 18
-#: Window length in n-grams, and the mean log ratio from which a window belongs to a span.
-WINDOW, RATIO = 4, 0.7
-#: Log ratio from which one n-gram is a window of its own.
-PEAK = 1.5
-#: Characters a span must cover, and its mean log ratio, to be residue without the exact check.
-COVER, COVER_RATIO = 28, 3.0
+N, BUCKETS = 4, 1 << 19
+#: (grams of a window, mean log ratio from which it belongs to a span): long ones for wording, short ones for single words, and for shapes.
+WINDOWS, SHAPE_WINDOWS = ((10, 1.35), (3, 4.5)), ((2, 1.5),)
+#: Share of its sentence that residue wording covers, and the sum and the mean of log ratios that it must have there.
+COVERED, LEAST, MEAN = 0.55, 12.0, 1.2
+#: Characters and mean from which a span of wording is residue wherever it stands.
+LONG, LONG_MEAN = 24, 1.7
+#: Sum of log ratios from which a span of shapes is a slot.
+SLOT_SUM = 6.0
+#: Share, mean and sum for slots in the first round, which knows little prose.
+SURE_COVERED, SURE_MEAN, SURE_SUM = 0.9, 2.5, 6.0
+#: Share of a text from which the whole of it is taken for residue when the models are fitted.
+WHOLE = 0.5
+#: How often the corpus is read to fit the models.
+ROUNDS = 2
 #: Probability of what a model has never seen.
-FLOOR = 2e-7
-
-_NAMES = "question text title topic date name background options deadline value source today item event list answer user company city variable".split()
-_NAMES += "question_text event_title closing_date resolution_date resolution_criteria freeze_value item.title sourceName outcomeList first_name product_id user.email".split()
-#: Ways to write a slot; @ stands for its name.
-_SLOTS = ["{{@}}", "{{ @ }}", "{{{@}}}", "{@}", "{@!r}", "${@}", "$@$", "#{@}", "<%= @ %>", "{% if @ %}", "{{/each}}", "{{#if @}}", "[[@]]", "[@]", "[INSERT @ HERE]", "<insert @>", "<<@>>", "<@>", "&lt;@&gt;", "«@»", "%(@)s", "%@%", "__@__", "@@@@@", "~@~", "(fill in @)", "{0} {1} {2}", "{0}", "{1}", "{} {}", "{}", "%s %s", "%s", "%d"]
-_FILLER = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
-ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit
-asdf asdf asdf qwer qwer|blah blah blah blah|xxxx xxxxx xx xxxxxxx xxxx|xx.xx.xxxx|____________|null null null|test test test 123 test|foo bar baz foo bar|qwerty qwerty|abc abc abc|undefined|NaN|[object Object]|#REF!|#NAME?|#N/A|#VALUE!|TBD|[TBD]|N/A N/A
-this is dummy text for layout purposes only|sample text goes here|your text here|[your text here]|your question goes here|title goes here / subtitle goes here|content coming soon|the quick brown sample
-placeholder text to be replaced|placeholder copy – editor to supply final wording|<placeholder>|TODO: replace before release|blindtext, hier folgt später der richtige wortlaut|beispieltext|texto de ejemplo|texto de relleno|ici vient le texte de la question|texte d'exemple"""
-_NOTICES = """404 not found|error 404: page missing|403 forbidden|401 unauthorized|500 internal server error|502 bad gateway|503 service temporarily unavailable|gateway time-out (504)|http status 410 – gone|429 too many requests|bad request
-access denied|you do not have permission to view this document|the requested url was rejected|the page you requested could not be found|the resource you requested could not be located on this host|we can't find that page|this page isn't available
-oops! something went wrong|whoops, something went wrong|please try again in a few minutes|if you think this is a mistake, contact the site owner|your session has expired|sign in again to continue|return to the home page|the upstream did not answer in time
-fatal error: maximum execution time exceeded|database connection failed|uncaught typeerror: cannot read properties of undefined|at render (page.js:20)|incident id 0f3a77|reference number: 0b1c2d|stack trace|internal error
-fehler 404 – seite nicht gefunden|erreur 503 : service indisponible|error 500: problema interno del servidor|página no encontrada|page introuvable|zugriff verweigert
-please enable javascript to view this page|enable javascript and cookies to continue|enable javascript in order to run this app|javascript is disabled in your browser|your browser does not support scripts or has them turned off|turn on scripting, then reload|this site requires javascript and cookies to work correctly|noscript: content cannot be shown
-your browser is no longer supported. please upgrade.|checking your browser before you proceed. this may take a few seconds.|verify that you are human by completing the action below|loading… if nothing appears, allow scripts for this domain|cookies help us run this site|accept | manage choices|we use cookies to improve your experience
-bitte aktivieren sie javascript, um fortzufahren|veuillez activer javascript dans votre navigateur|active javascript para ver esta página|<html><head><title></title></head><body></body></html>|<noscript></noscript>"""
-
-_ID = r"[A-Za-z_][\w.]*"
-_WORDS = r"(?!(?:and|or|und|oder|et|ou|y|o)\s)"
-#: An unfilled slot, in any of the usual notations; braces after a backslash command are notation.
-_SLOT = re.compile(
-    rf"\{{\{{\{{?\s*{_WORDS}[#/^]?{_ID}(?:\s+{_ID})?\s*\}}?\}}\}}|(?<!boxed)(?<!text)[$#]?\{{(?:{_ID}(?:![rsa])?|\d*)\}}|<%=?\s*{_ID}\s*%>|\{{%\s*\w+[^%]*%\}}"
-    rf"|\$[A-Za-z][\w.]*\$|\[\[{_ID}\]\]|\[{_ID}\]|\[(?:INSERT|YOUR|ENTER|ADD)\b[^\]]*\]|<(?:insert|enter|your)\s[^>]*>|<<{_ID}>>|<placeholder>|&lt;{_ID}&gt;"
-    rf"|«{_ID}»|%\({_ID}\)[sdrf]|%[A-Za-z][\w.]*%|(?<![\w%])%[sd](?!\w)|__{_ID}__|@@{_ID}@@|~{_ID}~|\((?:fill in|insert) [^)]*\)|_{{5,}}",
-    re.I,
-)
-_LATIN = "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua|enim|ad|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat|duis|aute|irure|in|reprehenderit"
-#: Filler and stock phrases of pages that hold no content.
-_STOCK = re.compile(
-    rf"\b(?:(?:{_LATIN})[ ,.]+){{4,}}|\b(\w{{2,5}})(?: \1){{2,}}\b|\basdf\b|\bx{{4,}}\b|\bxx\.xx\.xxxx|\[object \w+\]|#(?:REF|NAME|VALUE|DIV/0|N/A)[!?]?|\bundefined\b|\bNaN\b"
-    r"|\bTODO\b|\bTBD\b|placeholder (?:copy|text)|(?:dummy|sample|example) (?:question )?text\b|quick brown sample|(?:text|question|title|subtitle) goes here|your text here|content coming soon"
-    r"|blindtext|beispieltext|texto de (?:ejemplo|relleno)|ici vient le texte|texte d'exemple"
-    r"|\b(?:400|401|403|404|410|429|500|502|503|504)\b[ :–-]*(?:not found|forbidden|unauthorized|internal server|bad gateway|service (?:temporarily )?unavailable|too many requests|gateway|gone)"
-    r"|^\W*access denied|(?:gateway time-?out|bad request|service indisponible|seite nicht gefunden|page introuvable)\b|(?:error|fehler|erreur|http status)[ :]+[45]\d\d\b|requested url was rejected"
-    r"|(?:something went wrong|session has expired|can't find that page|page isn't available|could not be located on this host|do not have permission to view|contact the site owner|sign in again|return to the home page|upstream did not answer|try again in a few minutes)"
-    r"|fatal error:|database connection failed|uncaught \w*error|page\.js:\d+|incident id [0-9a-f]{6,}|reference number: [0-9a-f]{6,}|</?(?:html|head|title|body|noscript)>"
-    r"|(?:enable|activate|activer|aktivieren sie|active) javascript|javascript (?:is disabled|and cookies)|turn on scripting|does not support scripts|allow scripts for this|noscript:|browser is no longer supported|checking your browser|verify that you are human|cookies help us|\| manage choices",
-    re.I | re.M,
-)
-
-
-def seed_texts() -> dict[str, list[str]]:
-    """The seeds of each residue model, by rule from the lists above."""
-    named = [s.replace("@@@@@", f"@@{n}@@") if s == "@@@@@" else s.replace("@", n) for s in _SLOTS for n in _NAMES for n in (n, n.upper())]
-    # a slot without a name is one text against the many of a named one; it weighs as much
-    bare = [s for s in _SLOTS if "@" not in s]
-    slots = [s for s in named if s not in bare] + bare * 2 * len(_NAMES)
-    split = lambda block: [p for line in block.splitlines() for p in line.split("|")]
-    return {"slot": slots, "filler": split(_FILLER), "notice": split(_NOTICES)}
-
-
-def prepared(text: str) -> str:
-    """Case, numbers and white space made alike, character by character."""
-    low = text.lower()
-    return re.sub(r"\s", " ", re.sub(r"\d", "0", low if len(low) == len(text) else text))
-
-
-def prose(text: str) -> str:
-    """The text as prose counts it: prepared, with a gap in place of whatever has the form of residue."""
-    return prepared(_STOCK.sub("\x00", _SLOT.sub("\x00", text)))
+FLOOR = 1e-6
+#: Characters worked on at once; a longer text is scored in blocks that end with a line.
+BLOCK = 1 << 19
+#: The models: rows 0 to 2 over the wording, 3 and 4 over the shape.
+PROSE, FILLER, NOTICE, NOTATION, SLOT = range(5)
+
+# ---- seeds
+
+#: The standard passage of filler Latin.
+_LATIN = """Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad
+minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit
+esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."""
+#: What spreadsheets and programs print for a value that is not there.
+_NO_VALUE = "undefined|NaN|null|None|nil|(null)|[object Object]|#REF!|#VALUE!|#NAME?|#DIV/0!|#N/A|#NUM!|#NULL!|TBD|TBA|TBC|TODO|FIXME|XXX|tbd|N/A|n/a n/a|null null|undefined undefined|NaN NaN"
+_FILLER = """this is a placeholder|placeholder goes in here|insert your own words here|dummy content, please change it|fill in the name here|fill in later|please fill in|enter the value|insert the date|your caption goes here|the summary goes here|your address goes here|image title goes here|some dummy words for the layout|dummy paragraph, for design only|example wording for the answer|sample caption|TODO: write this section|TODO: add a figure later|to do: revise|sample paragraph|example sentence, not final|some text will go here
+to be added later|to be written|to be supplied|final text to follow|coming soon|content to come|copy to be provided by the author|heading here|body copy here|enter the description here|replace me|fill this in before publishing
+aaaa aaaa|xxx xxx xxx|xxxxxxx|yyyy yyyy|zzz zzz|asdf jkl|asdfgh|qwertz|foo bar|foo foo|bla bla|blah blah|test test|testing testing|abc xyz abc|lorem lorem|hello world test|The quick brown fox jumps over the lazy dog|quick brown fox|....... .......|-- -- --|------------|________|__ __ __|???? ????
+Platzhalter|hier steht später der Text|hier kommt noch ein Absatz|Textbeispiel|ici le texte viendra plus tard|ici vient le titre|ejemplo de párrafo|Blindtext zum Testen|Mustertext|Text folgt in Kürze|noch zu ergänzen|texte provisoire|texte à compléter|exemple de texte à remplacer|contenu à venir|texto provisional|aquí va el texto|texto de muestra|contenido pendiente|texto por definir|testo segnaposto|texto de exemplo"""
+#: Parts of notices; a line's parts stand after one another in every combination.
+_NOTICES = """the page|this page|that page|the document|the file|the address you entered|the site|the link >> does not exist|was not found|could not be found|cannot be displayed|has been moved or deleted|is not available|is gone|could not be loaded|is temporarily unavailable|is down for maintenance
+an error|an unexpected error|a server error|an internal error|a fatal error|a database error|a problem|something unexpected >> occurred|has occurred|happened while loading the page|happened on our side
+sorry, >> we could not find what you were looking for|something is wrong on our end|your request could not be processed|this content is not available|you are not allowed to see this page|you have no access|too many requests from your address
+access to this page|access|access to this resource|permission|your request|the request|the connection >> is denied|was denied|is restricted|was blocked|was refused|was rejected by the server|has timed out|timed out|has expired
+please >> try again later|reload the page|refresh the page|go back to the home page|contact the administrator|contact support if this continues|log in again|sign in to see this page|report this error|come back in a few minutes|wait a few seconds
+the server|the gateway|the host|the proxy|the database >> did not respond in time|did not answer|returned an error|is overloaded|is not responding|refused the connection|is unreachable|encountered an error|closed the connection
+your session|your login|your token|your connection >> has timed out, please log in again|is no longer valid|has ended|has expired, sign in
+javascript|scripting|javascript support|cookies and scripts >> is required|must be enabled|has to be turned on|is turned off|is disabled|is not supported by your browser|is needed to view this site|are required to use this application
+please|you need to|you must >> turn on javascript in your browser settings|enable scripts in your browser|allow cookies|accept cookies to continue|use a newer browser|update your browser|activate javascript to use this page|reload with scripts allowed|prove that you are not a robot|confirm that you are human|verify your identity by completing the check|complete the step below before you continue|complete the captcha|solve this check to continue
+your browser|the browser you use|this browser >> is out of date|is not supported|is too old|does not support javascript|does not run scripts|has javascript disabled|blocks scripts|blocks cookies
+we use cookies|this site uses cookies|cookies are used >> to improve the site|to give you the best experience|for analytics|. accept all. reject all. manage preferences. settings|to personalise content
+we are|one moment, >> checking that your browser is secure|checking if the connection is secure|verifying that you are human|this takes a few seconds|redirecting you|loading, please wait
+exception|error|fatal error|warning|traceback|stack trace|typeerror|syntaxerror|nullpointerexception >> : cannot read property of undefined|: uncaught exception|: maximum time exceeded|: out of memory|in line 0|: connection to the database failed|at main (app.js:0:0)|at module (index.js:0)|most recent call last|: allowed memory size exhausted|: call to undefined function
+error code|error id|request id|reference|incident|ray id|trace id|support id >> : 0a0b0c0d0e0f|0f0e0d0c0b0a|: 0000000000|number: a0c0e00f0
+die seite|diese seite|das dokument|der server|der dienst >> wurde nicht gefunden|ist nicht verfügbar|konnte nicht geladen werden|ist vorübergehend nicht erreichbar|antwortet nicht|ist überlastet
+fehler|interner fehler|serverfehler|zugriff verweigert|anfrage abgelehnt >> 000|: bitte versuchen sie es später erneut|. zurück zur startseite|beim laden der seite
+bitte >> schalten sie javascript ein|erlauben sie javascript in ihrem browser|aktualisieren sie ihren browser|akzeptieren sie cookies|javascript aktivieren|aktivieren sie javascript und cookies|um weiterzumachen, erlauben sie javascript|aktivieren sie javascript, um die seite zu sehen|bestätigen sie, dass sie ein mensch sind
+la page|cette page|le document|le serveur|le service >> est introuvable|n'existe pas|n'a pas été trouvée|n'est pas disponible|est temporairement indisponible|ne répond pas
+erreur|erreur interne|erreur du serveur|accès refusé|requête refusée >> 000|: veuillez réessayer plus tard|. retour à l'accueil|lors du chargement
+veuillez >> autoriser javascript dans votre navigateur|mettre à jour votre navigateur|accepter les cookies|réactiver javascript|javascript est désactivé, il faut l'activer
+la página|esta página|el documento|el servidor|el servicio >> no existe|no se ha encontrado|no está disponible|no fue encontrada|no responde|no se pudo cargar
+error|error interno|error del servidor|acceso denegado|solicitud rechazada >> 000|: inténtelo de nuevo más tarde|. volver al inicio|al cargar la página
+por favor, >> habilite javascript en su navegador|permita javascript para continuar|debe activar javascript|actualice su navegador|acepte las cookies
+<html><head><title> >> error</title></head><body>|000</title></head><body><h0>|</title></head><body></body></html>|not found</title></head>
+<noscript> >> javascript</noscript>|you need javascript</noscript>|enable</noscript>"""
+#: Natural prose besides that of the languages module: talk about pages, scripts and templates, and plain reporting.
+_PROSE = """The company said that its web site was down for two hours on Monday. Engineers traced the error to a certificate. The report counts how often users meet an error page in a month.
+A new browser version blocks third-party cookies by default, and advertisers object. Regulators want cookie dialogs to be as easy to refuse as to accept. The team rewrote the front end so that it runs without JavaScript.
+Designers often fill a mock-up with Latin before the real copy arrives. In this syntax a variable stands between two braces. The server room was moved to another building. Access to the archive is restricted by law.
+The script for the film was not found until last year. The court denied the request. The page of history was turned. Please give the probability of each option. The session ended without a vote, and the request was rejected by the board.
+Permission was granted after the second hearing. The service will be unavailable to new customers. Try to think about what would change your mind. The connection between both events is weak. The programme needs support from the upper chamber.
+Der Server der Behörde war gestern nicht erreichbar. Das Gericht lehnte die Anfrage ab. La page d'accueil du journal a changé. La requête a été rejetée par le tribunal. El servidor de la agencia falló ayer. La página del diario publicó los datos."""
+#: Words that join; between the marks of a notation they show that the marks are talked about.
+_JOINING = "and or to und oder bis et ou y o e sic".split()
+#: Ways to write a slot, @ for its name, as template languages, shells, formatters and hand-made forms have them.
+_SLOTS = "{{@}}|{{ @ }}|{{{@}}}|{{{ @ }}}|{@}|{ @ }|{@!r}|{@:a}|{{@|a}}|{{ @ | a }}|{{#@}}|{{/@}}|{{#if @}}|{{/if}}|{{> @}}|{{^@}}|${@}|$@$|${{@}}|#{@}|<%= @ %>|<% @ %>|<%@%>|{% @ %}|{% if @ %}|{% @ in @ %}|{%- @ -%}|[[@]]|[@]|[@ @]|[YOUR @ HERE]|[INSERT @]|[insert @ here]|<insert @>|<insert @ here>|<your @ here>|<your @>|<enter @>|<placeholder>|<<@>>|<< @ >>|&lt;@&gt;|&lt;&lt;@&gt;&gt;|«@»|%(@)s|%(@)d|%@%|%%@%%|__@__|@@@@@|##@##|~@~|~~@~~|^@^|{0}|{{0}}|{}|{} {}|{0} {0}|{0} {0} {0}|%s|%d|%s %s|%0$s|[___]|______|____ ____|{ }|[ ]|[]|[...]".split("|")
+#: Natural notation: intervals, sets, objects, markup, references, money, shares, formulas, code, paths.
+_NOTATION = """[0, 0]|[0; 0]|[a, a]|(0, 0)|(a, a)|{a, a}|{a, a, a}|{0, 0}|{"a": 0, "a": "a"}|{"a": "a"}|{"a": [0, 0]}|{a: 0, a: 0}|{'a': 'a'}|[{"a": 0}]|["a", "a"]|[0]|[0, 0, 0]|(0)|(a)|(a a)|(a a a)|(0 a)|[a a a a]|\\a{a}|\\a{a, a}|\\a{0}|\\a{...}|\\a{A}|\\a{}|\\a{ }|\\a{a a a}|\\a{a}{a}|\\a{0}{0}|\\a{\\a{a}}|$\\a{a}{a}$|a_{a}|a^{a}|a_{0}|a^{0}|x^0|\\(a = 0\\)|$0|$0.0|$0,0|$0 a|€0|£0|0%|0.0%|0 %|0% a|0%, 0%|#0|#a|#a a|# a|## a a|### a a|<b>a</b>|<i>a a</i>|<p>|</p>|<br>|<br/>|<a>a</a>|<a>|</a>|<a-a>|</a-a>|<a>\na|a\n</a>|*a*|**a**|**a a**|_a_|_a a_|`a`|`a a`|`a(a)`|a(a)|a(a, a)|a[0]|a[a]|a['a']|[a](a://a/a)|[0](a://a)|a://a/a/a?a=0&a=a|a@a|@a|~0|~0 a|- a a|* a a|1. a|0. a a|a: a|a = a|a == a|a != a|a >= 0|a <= 0|a > 0|a < 0|a -> a|a & a|a/a|a|a|"a"|"a a"|“a a”|„a a“|«a a a»|« a a »|»a a«|'a a'|a's|a -- a|a – a|a … a|a... a|- [ ] a a|- [x] a a|[^0]|[a a, 0]|(a, 0)|(see a)|(a. a)|…|a:\na. a\nb. a a\nc. a|a:\n- a\n- a a|\n0. a a.\n0. a a a.\n|\na) a\nb) a a|0) a|a a:\n\na a|a a a?\n\na a a.\n\na a!\n\na|a a a?\na a|a a a. a a, a a. a|a; a a|a? a!|(a)|(a, a)|the value is null|it is undefined.|a null a a|a undefined for a a a|a a null in a|a null hypothesis|that that is|a very very long way|a, a, a|a a, a a"""
+
+
+def _notices() -> list[str]:
+    """Each combination of a line's parts."""
+    out = []
+    for line in _NOTICES.splitlines():
+        first, _, then = line.partition(" >> ")
+        out += [f"{a}{'' if b[0] in ':.' else ' '}{b}" for a in first.split("|") for b in then.split("|")]
+    return out
+
+
+def seed_texts() -> list[list[str]]:
+    """The seeds of each model, by rule from the lists above."""
+    status = [f"{s.value} {s.phrase}" for s in HTTPStatus if s >= 400]
+    status += [f"{lead} {s.value}: {s.phrase}" for s in HTTPStatus if s >= 400 for lead in ("error", "http error", "status", "fehler", "erreur")]
+    status += [s.description for s in HTTPStatus if s >= 400 and s.description]
+    status += [os.strerror(e) for e in (errno.ENOENT, errno.EACCES, errno.ECONNREFUSED, errno.ETIMEDOUT, errno.EHOSTUNREACH)] + ["access denied"] * 20  # as common as it is
+    words = re.findall(r"[A-Za-z]+", _LATIN)
+    shuffled = [words[i * k % len(words)] for k in (7, 11, 13, 17) for i in range(len(words))]
+    filler = [_LATIN, " ".join(shuffled), *_NO_VALUE.split("|"), *(p for line in _FILLER.splitlines() for p in line.split("|"))]
+    prose = [*languages.SEEDS.values(), *_PROSE.splitlines()]
+    marks = [m for s in _SLOTS if s.count("@") == 1 for m in [s.split("@")] if m[0] and m[1]]
+    joined = [f"{a}{gap}{w}{gap}{b}" for a, b in marks for w in _JOINING for gap in (" ",)]
+    slots = ["@@a@@" if s == "@@@@@" else s.replace("@", "a") for s in _SLOTS]
+    slots += ["null", "[null]", "<null>", "{null}", "null: a a", "a a. null a a", "null null null", "go go go go", "go go go 0 go"]
+    slots += [f"{lead}#{name}" for name in ("ref!", "value!", "name?", "num!", "n/a", "div/0!") for lead in ("", "a a. ")]
+    slots += [s for w in ("fill in", "insert", "enter") for s in (f"({w} a)", f"({w} a a)", f"({w} the a a)", f"[{w} a]")]
+    return [prose, filler, [*status, *_notices()], [*prose, *_NOTATION.split("|"), *joined], slots]
+
+
+# ---- what the models see
+
+#: Words that stand for a value that is not there; the shape has one sign for them.
+_ABSENT = "undefined nan null nil tbd tba tbc todo fixme".split()
+#: Words that tell a writer to put something in.
+_TELLING = "fill insert enter your placeholder".split()
+_WORD, _JOIN, _AGAIN, _NONE, _TELL = ord("a"), ord("&"), 1, 2, 3
+_POWERS = 64
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(each code unit's lower case with numbers and blanks made alike, whether it is a letter) of the basic plane."""
+    chars = [chr(c) for c in range(1 << 16)]
+    fold = np.array([10 if c == "\n" else 32 if c.isspace() or c == "\x00" else 48 if c.isdecimal() else ord(low) if len(low := c.lower()) == 1 else ord(c) for c in chars], np.uint32)
+    return fold, np.array([c.isalpha() for c in chars])
+
+
+def _powers() -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(_POWERS - 1, 0x100000001B3, np.uint64))))
+
+
+@cache
+def _known(words: tuple[str, ...]) -> np.ndarray:
+    return np.array([int((np.frombuffer(w.encode("utf-32-le"), np.uint32) * _powers()[: len(w)]).sum(dtype=np.uint64)) for w in words], np.uint64)
+
+
+class Codes:
+    """Texts side by side as code points: their wording, and the shape with the place of each of its signs."""
+
+    def __init__(self, texts: list[str]):
+        fold, alpha = _tables()
+        raw = np.frombuffer(("\n" + "\n\x00\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32) if texts else np.empty(0, np.uint32)
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.size + 3)))[:-1] + 1  # of each text's first character
+        low = raw < 1 << 16
+        self.wording = np.where(low, fold[np.where(low, raw, 0)], raw)
+        ends = self.start + self.size
+        self.wording[ends[:-1] + 1] = 0
+        w = self.wording
+        n = len(w)
+        letter = np.where(w < 1 << 16, alpha[np.where(w < 1 << 16, w, 0)], False)
+        kind = np.where(letter, 1, np.where(w == 48, 2, np.where(w == 32, 3, 0)))
+        part = (kind == 1) | (kind == 2)
+        # a point or low line between parts of a name is part of it
+        tie = np.zeros(n, bool)
+        if n > 2:
+            tie[1:-1] = ((w[1:-1] == 46) | (w[1:-1] == 95)) & letter[:-2] & part[2:]
+        part |= tie
+        before = np.concatenate(([False], part[:-1]))
+        first = np.where(part, ~before, (kind != 3) | (np.concatenate(([0], kind[:-1])) != 3))
+        self.at = np.flatnonzero(first)
+        sign = w[self.at].copy()
+        words = kind[self.at] == 1
+        sign[words] = _WORD
+        if len(self.at):
+            offset = np.arange(n) - self.at[np.cumsum(first) - 1]
+            hashes = np.add.reduceat(w.astype(np.uint64) * _powers()[np.minimum(offset, _POWERS - 1)], self.at)
+            sign[words & np.isin(hashes, _known(tuple(_JOINING)))] = _JOIN
+            sign[words & np.isin(hashes, _known(tuple(_ABSENT)))] = _NONE
+            sign[words & np.isin(hashes, _known(tuple(_TELLING)))] = _TELL
+            again = np.zeros(len(sign), bool)
+            again[2:] = words[2:] & words[:-2] & (hashes[2:] == hashes[:-2]) & (sign[1:-1] == 32)
+            sign[again] = _AGAIN
+        self.shape = sign
+
+    def grams(self, shape: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, text number, first character) of each gram; characters are counted over all texts."""
+        codes = self.shape if shape else self.wording
+        bucket, number, at = ngrams.hashed_codes(codes, N, BUCKETS)
+        return bucket, number, self.at[at] if shape else at
+
+
+def _seed_counts() -> np.ndarray:
+    """Counts of the five models' seeds, each seed as a line of its own and inside a line."""
+    rows = []
+    for k, texts in enumerate(seed_texts()):
+        if k >= NOTATION:  # a stands for any word
+            words = cycle(("ab", "cde", "fg", "hij", "kl"))
+            texts = [re.sub(r"\ba\b", lambda _: next(words), t) for t in texts]
+            forms = ["{}", "\n{}\n", "mn.\n{}\nop", "mn? {} op", "mn {} op", "mn {}."]
+        else:
+            forms = ["{}", "\n{}\n", " {} ", " {}."]
+        # a sign of no value inside a sentence is talk
+        rows.append(np.bincount(Codes([f.replace("{}", t) for t in texts for f in (forms[:4] if k == SLOT and "null" in t else forms)]).grams(k >= NOTATION)[0], minlength=BUCKETS))
+    return np.stack(rows)
+
+
+# ---- fitting
+
+
+def _model(seeds: np.ndarray, corpus: np.ndarray | None) -> np.ndarray:
+    """Log ratios of filler and notice against prose, and of slot against notation (3 x BUCKETS)."""
+    p = seeds / np.maximum(seeds.sum(axis=1, keepdims=True), 1)
+    if corpus is not None:
+        held = corpus.astype(float)
+        held[[PROSE, NOTATION]] = np.maximum(held[[PROSE, NOTATION]] - 1, 0)  # what one text alone says does not make it prose
+        total = held.sum(axis=1, keepdims=True)
+        p = np.where(total > 0, (p + held / np.maximum(total, 1)) / 2, p)
+    logp = np.log(p + FLOOR)
+    return np.stack([logp[FILLER] - logp[PROSE], logp[NOTICE] - logp[PROSE], logp[SLOT] - logp[NOTATION]]).astype(np.float32)
+
+
+def _inside(score: np.ndarray, text_of: np.ndarray, windows: tuple[tuple[int, float], ...]) -> np.ndarray:
+    """Which grams lie in a window whose mean log ratio exceeds its bound; no window crosses texts."""
+    n = len(score)
+    total = np.concatenate(([0.0], np.cumsum(score, dtype=np.float64)))
+    cover = np.zeros(n + 1, np.int64)
+    for w, ratio in windows:
+        if w <= n:
+            good = np.flatnonzero(((total[w:] - total[:-w]) > w * ratio) & (text_of[: n - w + 1] == text_of[w - 1 :]))
+            cover += np.bincount(good, minlength=n + 1) - np.bincount(good + w, minlength=n + 1)
+    return np.cumsum(cover)[:n] > 0
+
+
+def _runs(inside: np.ndarray, text_of: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of the runs of grams inside, each in one text."""
+    if not len(inside):
+        return []
+    new = np.concatenate(([True], text_of[1:] != text_of[:-1]))
+    start = inside & (new | ~np.concatenate(([False], inside[:-1])))
+    end = inside & (np.concatenate((new[1:], [True])) | ~np.concatenate((inside[1:], [False])))
+    return list(zip(np.flatnonzero(start).tolist(), (np.flatnonzero(end) + 1).tolist()))
+
+
+#: Ends of sentences, lines, elements and bracketed parts.
+_BOUND = re.compile(r"[.!?…](?=[\s<])|\n+|[<>()\[\]{}]")
+#: A few words in quotation marks.
+_QUOTED = re.compile(r"(?<![^\W_])(?:'[^'\n]{1,40}'|\"[^\"\n]{1,40}\"|[„“‘][^“”’\n]{1,40}[“”’]|`[^`\n]{1,40}`)(?![^\W_])")
+
+
+class Finder:
+    """Finds the residue of texts with given log ratios; sure: with the bounds of the first round."""
+
+    def __init__(self, ratios: np.ndarray, sure: bool = False):
+        self.ratios, self.sure = ratios, sure
+
+    def windows(self, codes: Codes) -> dict[int, list[tuple[int, int, int, np.ndarray]]]:
+        """By text the candidate spans (first character, end, model, log ratio of the gram around each character or sign)."""
+        out: dict[int, list[tuple[int, int, int, np.ndarray]]] = {}
+
+        def add(i: int, first: int, end: int, model: int, scores: np.ndarray) -> None:
+            # a gram begins with what comes before it, and a span leaves out half of the overlap at either end
+            first, end = max(0, first - int(codes.start[i]) + 1), min(int(codes.size[i]), end - int(codes.start[i]))
+            if first < end:
+                out.setdefault(i, []).append((first, end, model, scores))
+
+        bucket, number, at = codes.grams(False)
+        both = self.ratios[:2, bucket]
+        best = both.max(axis=0)
+        inside = _inside(both[0], number, WINDOWS) | _inside(both[1], number, WINDOWS)
+        for a, b in _runs(inside, number):
+            add(int(number[a]), int(at[a]), int(at[b - 1]) + N - 1, FILLER if both[0, a:b].sum() > both[1, a:b].sum() else NOTICE, best[a:b])
+        bucket, number, at = codes.grams(True)
+        last = np.append(codes.at, len(codes.wording))
+        score = self.ratios[2, bucket]
+        for a, b in _runs(_inside(score, number, SHAPE_WINDOWS), number):
+            end = last[np.searchsorted(codes.at, at[b - 1]) + N - 1]
+            add(int(number[a]), int(at[a]), int(end), SLOT, score[a:b])
+        return out
+
+    def spans(self, text: str, found: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int, int]]:
+        """(first character, end, model) of the candidates that are residue."""
+        out = [(a, b, SLOT) for a, b, model, scores in found if model == SLOT and scores.sum() >= (SURE_SUM if self.sure else SLOT_SUM)]
+        words = [f for f in found if f[2] != SLOT]
+        if not words:
+            return out
+        score, kind = np.zeros(len(text)), np.zeros(len(text), np.int8)
+        for a, b, model, scores in words:
+            score[a : a + len(scores)], kind[a:b] = scores[: len(text) - a], model
+        for m in _QUOTED.finditer(text):  # mentioned
+            score[m.start() : m.end()] = kind[m.start() : m.end()] = 0
+        share, least, each = (SURE_COVERED, LEAST, SURE_MEAN) if self.sure else (COVERED, LEAST, MEAN)
+        bounds = [0, *(m.end() for m in _BOUND.finditer(text)), len(text)]
+        at = np.searchsorted(bounds, [x for f in words for x in (f[0], f[1])])
+        for k in sorted({j for lo, hi in zip(at[::2], at[1::2]) for j in range(max(1, lo), hi + 1)}):
+            s, e = bounds[k - 1], bounds[k]
+            here = kind[s:e] > 0
+            size = int(here.sum())
+            if size and size >= share * len(text[s:e].strip()) and score[s:e].sum() >= max(least, each * size):
+                out.append((s, e, int(np.bincount(kind[s:e][here]).argmax())))
+        if not self.sure:
+            out += [(a, b, model) for a, b, model, scores in words if b - a >= LONG and scores.sum() >= LONG_MEAN * (b - a) and kind[a:b].all()]
+        return out
+
+    def residue(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """The spans of each text that are residue."""
+        found = self.windows(Codes(texts))
+        return [self.spans(t, found[i]) if i in found else [] for i, t in enumerate(texts)]
+
+
+def count(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
+    """Counts of the five models over texts with their residue spans; a gram counts once per text and model."""
+    codes = Codes(texts)
+    marks = np.full(len(codes.wording), PROSE, np.int8)
+    for i, own in enumerate(spans):
+        here = marks[codes.start[i] : codes.start[i] + codes.size[i]]
+        for a, b, model in sorted(own, key=lambda s: s[2] != SLOT):
+            here[a:b] = model
+        worded = here[(here == FILLER) | (here == NOTICE)]
+        if len(worded) and len(worded) >= WHOLE * len(texts[i].strip()):
+            here[:] = np.bincount(worded).argmax()  # the rest of an error page is of its kind
+    total = np.zeros((5, BUCKETS), np.int64)
+    for shape, models in ((False, (PROSE, FILLER, NOTICE)), (True, (NOTATION, SLOT))):
+        bucket, number, at = codes.grams(shape)
+        end = np.append(codes.at, len(codes.wording))[np.searchsorted(codes.at, at) + N] if shape else at + N
+        for k in models:
+            other = np.concatenate(([0], np.cumsum(marks != (PROSE if k == NOTATION else k))))
+            ok = other[np.maximum(end - 1, at + 1)] == other[at + 1]  # the frame may be of any model
+            total[k] = np.bincount(np.unique(number[ok] * BUCKETS + bucket[ok]) % BUCKETS, minlength=BUCKETS)
+    return total
+
+
+# ---- over tables
+
+
+def _blocks(texts: list[str | None]) -> Iterator[list[tuple[int, int, str]]]:
+    """Groups of (text number, first character, block) of about BLOCK characters; NULL and blank texts have no block."""
+    group, size = [], 0
+    for i, t in enumerate(texts):
+        at = 0 if t and not t.isspace() else len(t or "")
+        while at < len(t or ""):
+            end = len(t)
+            if end - at > BLOCK:
+                end = t.rfind("\n", at, at + BLOCK) + 1 or at + BLOCK
+            group.append((i, at, t[at:end]))
+            size, at = size + end - at, end
+            if size >= BLOCK:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
 
 
 def fit(corpus: DataFrame, text: str) -> np.ndarray:
-    """Log ratio of each bucket: the best residue model against prose; fitted over the distinct texts of corpus.
+    """Log ratios of the residue models against prose and notation (3 x BUCKETS), fitted over the distinct texts of corpus.
 
-    Neither copies of a text nor residue that many texts hold make residue prose.
+    Each round reads the distinct texts once; at most 5 x BUCKETS sums are collected.
     """
-    natural = ngrams.log_probabilities(ngrams.corpus_counts(corpus, text, N, BUCKETS, prose, distinct=True), FLOOR)
-    seeds = np.stack([ngrams.count_texts([f" {prepared(s)}{end}" for s in v for end in (" ", ".", ", ")], N, BUCKETS) for v in seed_texts().values()])
-    return (ngrams.log_probabilities(seeds, FLOOR) - natural).astype(np.float32)
+    seeds = _seed_counts()
+    ratios = _model(seeds, None)
+    with stored(corpus.select(F.col(text).cast("string").alias("t")).filter("t is not null").distinct()) as texts:
+        for k in range(ROUNDS):
+            sent = corpus.sparkSession.sparkContext.broadcast(ratios)  # fixed size
 
+            def run(batches: Iterator[pa.RecordBatch], sure: bool = k == 0) -> Iterator[pa.RecordBatch]:
+                finder, total = Finder(sent.value, sure), np.zeros((5, BUCKETS), np.int64)
+                for b in batches:
+                    for group in _blocks(b.column(0).to_pylist()):
+                        own = [t for _, _, t in group]
+                        total += count(own, finder.residue(own))
+                i, j = np.nonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(i * BUCKETS + j), pa.array(total[i, j])], names=["cell", "n"])
 
-def spans(text: str, ratios: np.ndarray) -> list[tuple[int, int, float]]:
-    """(start, end, mean log ratio) of the merged windows in which some residue model beats prose."""
-    bucket, _ = ngrams.hashed([f" {prepared(text)} "], N, BUCKETS)
-    if not len(bucket):
-        return []
-    w = min(WINDOW, len(bucket))
-    found = np.zeros(len(bucket), bool)
-    best = np.full(len(bucket), -np.inf)
-    for row in ratios:
-        r = row[bucket]
-        best = np.maximum(best, r)
-        total = np.concatenate(([0.0], np.cumsum(r)))
-        for i in np.flatnonzero((total[w:] - total[:-w]) / w > RATIO):
-            found[i : i + w] = True
-        found |= r > PEAK  # a slot of two characters is a single n-gram
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], found.astype(np.int8), [0]))))
-    return [(int(a), int(b) + N - 1, float(best[a:b].mean())) for a, b in edges.reshape(-1, 2)]
-
-
-def residue_spans(text: str | None, ratios: np.ndarray) -> list[tuple[int, int]]:
-    """The spans of text that are residue."""
-    if text is None or not text.strip():
-        return []
-    found, exact = [], None
-    for a, b, mean in spans(text, ratios):
-        if b - a >= COVER and mean >= COVER_RATIO:
-            found.append((a, b))
-            continue
-        if exact is None:
-            exact = [m.span() for p in (_SLOT, _STOCK) for m in p.finditer(text)]
-        found.extend((s, e) for s, e in exact if s < b and e > a - 1)
-    return found
+            sums = spread(texts).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+            counts = np.zeros(5 * BUCKETS, np.int64)
+            counts[sums["cell"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
+            ratios = _model(seeds, counts.reshape(5, BUCKETS))
+    return ratios
 
 
 def residue_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, n_spans, covered (share of the text inside spans) of every row that holds residue."""
-    ratios = df.sparkSession.sparkContext.broadcast(fit(df, text))  # fixed size: 3 x BUCKETS floats
+    ratios = df.sparkSession.sparkContext.broadcast(fit(df, text))  # fixed size
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(ratios.value)
         for b in batches:
-            keep, number, covered = [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                if got := residue_spans(t, ratios.value):
-                    inside = np.zeros(len(t) + 2, bool)
-                    for s, e in got:
-                        inside[max(0, s) : e] = True
-                    keep.append(i)
-                    number.append(len(got))
-                    covered.append(float(inside.sum() / len(inside)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(number, pa.int32()), pa.array(covered, pa.float64())], names=["key", "n_spans", "covered"])
+            texts = b.column(1).to_pylist()
+            spans: dict[int, list[tuple[int, int]]] = {}
+            for group in _blocks(texts):
+                for (i, at, _), own in zip(group, finder.residue([t for _, _, t in group])):
+                    if own:
+                        spans.setdefault(i, []).extend((at + s, at + e) for s, e, _ in own)
+            covered = []
+            for i, own in spans.items():
+                inside = np.zeros(len(texts[i]), bool)
+                for s, e in own:
+                    inside[s:e] = True
+                covered.append(float(inside.mean()))
+            keys = b.column(0).take(pa.array(list(spans), pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([len(v) for v in spans.values()], pa.int32()), pa.array(covered, pa.float64())], names=["key", "n_spans", "covered"])
 
     return spread(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))).mapInArrow(run, f"key {kind}, n_spans int, covered double")

@@ -44,20 +44,59 @@ def test_languages(text, language):
     assert languages.LANGUAGES[int(scores[0].argmax())] == language
 
 
+def _prompts(rnd, n, tag):
+    return [(f"{tag}{i}", _text(rnd)) for i in range(n)]
+
+
+#: Wordings that are not among the seeds; each was written for this test.
+PLANTED = {
+    "slot": ["{{ customer.nickname }}", "${shippingWeight}", "<%= harvest_year %>", "[[chapter]]", "{% for boat in fleet %}", "%(sculptor)s", "__RIVER_NAME__", "{3} {4}", "<insert painter>", "[INSERT BRIDGE NAME HERE]", "@@TOWER@@", "«harbour»"],
+    "filler": ["Dolore magna tempor nulla velit consectetur aliquip.", "TBA", "TODO: rework before print", "Blindtext folgt in Kürze.", "This is dummy copy, to be replaced.", "xxx xxx xxxx", "Texte provisoire à remplacer.", "Some placeholder words go here.", "undefined", "#DIV/0!"],
+    "notice": ["HTTP 504 Gateway Timeout", "We're sorry, this page could not be found on the server.", "Access to this document was denied by the administrator.", "JavaScript must be turned on in your browser to use this site.", "Your session timed out. Please log in again.", "Internal server error. Please try again later.",
+               "Bitte aktivieren Sie Cookies und JavaScript in Ihrem Browser.", "Cette page n'existe pas ou a été supprimée.", "El servidor no responde. Inténtelo más tarde.", "We use cookies to personalise content. Accept all | Reject all", "Checking that the connection is secure, please wait.", "The database connection was refused."],
+}
+#: Talk about such things, and notation on purpose.
+TALK = ["The template syntax puts a variable between {{ and }} marks.", "Visitors see a 404 page, as counted by the board.", "The set {A, B} stands for both.", "It works without JavaScript, they say.", "Answer as \\boxed{answer} please.", "Give it as [low, high] if you can.",
+        "A record like {\"id\": 3, \"state\": \"open\"} counts.", "Regulators want cookie banners to be plain.", "The designer left 'lorem ipsum' in a sample theme.", "The registry returned 503 errors for an hour.", "See [12] and Table 3 (p. 40).", "The price is $40, or 12% less.", "The term is undefined for a single case."]
+
+
 def test_residue(spark):
     rnd = random.Random(4)
-    clean = [(f"c{i}", _text(rnd)) for i in range(300)]
-    talk = [(f"t{i}", _text(rnd, 3) + " " + s) for i in range(12) for s in ("The template language marks a variable with {{ and }} signs.", "Visitors see a 404 page, as counted by the board.", "The set {A, B} stands for both.", "It works without JavaScript, they say.", "Answer as \\boxed{answer} please.")]
-    dirty = ["{{question}}", "Will ${event_title} win?", "Lorem ipsum dolor sit amet consectetur elit sed do.", "404 Not Found", "Please enable JavaScript to view this page.", "[TBD]", "%s", "<insert topic>", "Verify that you are human by completing the action below."]
-    bad = [(f"d{i}", f"{_text(rnd, 2)} {s} {_text(rnd, 1)}") for i, s in enumerate(dirty)] + [("d_all", "Enable JavaScript and cookies to continue")]
-    rows = [*clean, *talk, *bad, ("null", None), ("blank", "  "), ("long", _text(rnd, 4000)), ("d_all", "Enable JavaScript and cookies to continue")]
+    clean = _prompts(rnd, 300, "c")
+    talk = [(f"t{i}-{j}", _text(rnd, 3) + " " + s) for i in range(12) for j, s in enumerate(TALK)]
+    bad = [(f"{kind}{j}", f"{_text(rnd, 2)}\n{s}\n{_text(rnd, 1)}") for kind, own in PLANTED.items() for j, s in enumerate(own)] + [("whole", "Please enable JavaScript and cookies to go on")]
+    rows = [*clean, *talk, *bad, ("null", None), ("blank", "  "), ("long", _text(rnd, 4000)), ("whole", "Please enable JavaScript and cookies to go on")]
     df = spark.createDataFrame(rows, "item_id string, prompt string")
     found = residue.residue_rows(df, "item_id", "prompt").collect()
-    assert {r["key"] for r in found} == {k for k, _ in bad}
-    assert sum(r["key"] == "d_all" for r in found) == 2 and all(0 < r["covered"] <= 1 for r in found)
+    got, want = {r["key"] for r in found}, {k for k, _ in bad}
+    assert len(got & want) >= 0.9 * len(want), sorted(want - got)
+    assert len(got & want) >= 0.97 * len(got), sorted(got - want)
+    assert sum(r["key"] == "whole" for r in found) == 2 and all(0 < r["covered"] <= 1 for r in found)
     assert residue.residue_rows(df.limit(0), "item_id", "prompt").collect() == []
 
 
+def test_residue_is_decided_by_the_models(spark):
+    """Without the residue models nothing is found, and the windows leave most clean texts alone."""
+    rnd = random.Random(8)
+    texts = [t for _, t in _prompts(rnd, 300, "c")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    ratios = residue.fit(df, "t")
+    passed = residue.Finder(ratios).windows(residue.Codes(texts))
+    assert len(passed) < 0.2 * len(texts)
+    planted = [s for own in PLANTED.values() for s in own]
+    assert sum(bool(s) for s in residue.Finder(ratios).residue(planted)) >= 0.9 * len(planted)
+    assert not any(residue.Finder(np.zeros_like(ratios)).residue(planted))
+
+
+def test_residue_blocks():
+    long = "\n".join(["The court waits."] * 50_000)
+    groups = list(residue._blocks(["a", None, " ", long, "b"]))
+    assert "".join(t for g in groups for i, _, t in g if i == 3) == long and {i for g in groups for i, _, _ in g} == {0, 3, 4}
+    assert all(t.endswith("\n") or at + len(t) == len(long) for g in groups for i, at, t in g if i == 3)
+    counts = residue.count(["abcd abcd", "abcd"], [[], []])
+    assert counts[residue.PROSE].max() == 2  # once a text
+
+
 def _cut_rows():
     rnd = random.Random(9)
     rows, cut = [], set()
