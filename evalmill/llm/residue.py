@@ -42,7 +42,8 @@ COVERED, LEAST, MEAN = 0.55, 12.0, 1.2
 LONG, LONG_MEAN = 24, 1.7
 #: Sum of log ratios from which a span of shapes is a slot.
 SLOT_SUM = 6.0
-#: Share, mean and sum for slots in the first round, which knows little prose.
+#: Windows, share, mean and sum for slots in the first round, which knows little prose.
+SURE_WINDOWS = ((6, 2.5), (3, 4.5))
 SURE_COVERED, SURE_MEAN, SURE_SUM = 0.9, 2.5, 6.0
 #: Share of a text from which the whole of it is taken for residue when the models are fitted.
 WHOLE = 0.5
@@ -286,7 +287,8 @@ class Finder:
         bucket, number, at = codes.grams(False)
         both = self.ratios[:2, bucket]
         best = both.max(axis=0)
-        inside = _inside(both[0], number, WINDOWS) | _inside(both[1], number, WINDOWS)
+        windows = SURE_WINDOWS if self.sure else WINDOWS
+        inside = _inside(both[0], number, windows) | _inside(both[1], number, windows)
         for a, b in _runs(inside, number):
             add(int(number[a]), int(at[a]), int(at[b - 1]) + N - 1, FILLER if both[0, a:b].sum() > both[1, a:b].sum() else NOTICE, best[a:b])
         bucket, number, at = codes.grams(True)
@@ -345,7 +347,8 @@ def count(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> np.ndarr
         for k in models:
             other = np.concatenate(([0], np.cumsum(marks != (PROSE if k == NOTATION else k))))
             ok = other[np.maximum(end - 1, at + 1)] == other[at + 1]  # the frame may be of any model
-            total[k] = np.bincount(np.unique(number[ok] * BUCKETS + bucket[ok]) % BUCKETS, minlength=BUCKETS)
+            seen = np.sort(number[ok] * BUCKETS + bucket[ok])
+            total[k] = np.bincount(seen[np.diff(seen, prepend=-1) > 0] % BUCKETS, minlength=BUCKETS)
     return total
 
 
