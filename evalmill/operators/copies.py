@@ -47,5 +47,6 @@ def admit_batch(new: DataFrame, stored: DataFrame, key: Column, stored_key: Colu
     once. Rows without a key are always admitted.
     """
     firsts = rank_copies(new, key, order, row_id).filter("is_first").select("row_id", "key")
+    # distinct first: a key stored very often would else meet the exchange with all its rows
     known = stored.select(stored_key.alias("key")).filter(F.col("key").isNotNull()).distinct()
     return firsts.join(known, "key", "left_anti").select("row_id", "key")

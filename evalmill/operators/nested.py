@@ -9,7 +9,8 @@ parent row. Records are walked inside one Arrow batch and never shuffled whole.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,11 +38,26 @@ def _scalar(x) -> str | None:
     return x if isinstance(x, str) or x is None else json.dumps(x, ensure_ascii=False)
 
 
-def walk_reply(body: dict) -> Iterator[tuple[str, str, str | None, tuple[int, ...]]]:
-    """(path, kind, value, ordinals) in document order."""
+def _step(key: str) -> str:
+    """A key as one step of a path: points and brackets of its own are escaped."""
+    return re.sub(r"([\\.\[\]])", r"\\\1", key) if any(c in key for c in "\\.[]") else key
+
+
+def leading(paths: Iterable[str]) -> set[str]:
+    """The paths and all that lead to them."""
+    out = {""}
+    for p in paths:
+        out |= {p[: m.start()] for m in re.finditer(r"(?<!\\)\.|\[\]", p)} | {p[: m.end()] for m in re.finditer(r"\[\]", p)} | {p}
+    return out
+
+
+def walk_reply(body: dict, within: set[str] | None = None) -> Iterator[tuple[str, str, str | None, tuple[int, ...]]]:
+    """(path, kind, value, ordinals) in document order; of the paths within, where given, and not of what lies beside or below them."""
     stack: list[tuple[str, object, tuple[int, ...]]] = [("", body, ())]
     while stack:
         path, x, at = stack.pop()
+        if within is not None and path not in within:
+            continue
         if path in _OBJECTS:
             x = decoded(x)
         if isinstance(x, list) or path in _ARRAYS or (path == "choices[].message.content" and isinstance(x, dict)):
@@ -56,20 +72,23 @@ def walk_reply(body: dict) -> Iterator[tuple[str, str, str | None, tuple[int, ..
                 yield path, ELEMENT, None if isinstance(x, dict) else _scalar(x), at
             if isinstance(x, dict):
                 for k, v in reversed(x.items()):
-                    stack.append((f"{path}.{k}" if path else k, v, at))
+                    stack.append((f"{path}.{_step(k)}" if path else _step(k), v, at))
             elif not path.endswith("[]"):
                 yield path, VALUE, _scalar(x), at
 
 
-def shred(df: DataFrame, row_id: str, text: str, walk: Callable = walk_reply) -> DataFrame:
+def shred(df: DataFrame, row_id: str, text: str, paths: Iterable[str] | None = None, walk: Callable = walk_reply) -> DataFrame:
     """row_id, complete, triples: array<struct<path, kind, value, ordinals>>, one row per input row.
 
     A text that is not one complete JSON document (NULL and empty included) has complete false and no
-    triples; a complete one that holds no object has none either. Only the two columns named are read.
+    triples; a complete one that holds no object has none either. Only the two columns named are read,
+    and, where paths are named, only the triples on the way to them are made; name them where records
+    may nest thousands deep, as a path is as long as its depth.
     """
     triple = "struct<path:string,kind:string,value:string,ordinals:array<int>>"
     kind = pa.struct([("path", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("ordinals", pa.list_(pa.int32()))])
     id_type = dict(df.dtypes)[row_id]
+    within = None if paths is None else leading(paths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,7 +96,7 @@ def shred(df: DataFrame, row_id: str, text: str, walk: Callable = walk_reply) ->
             for s in b.column(1).to_pylist():
                 ok, body = reply_of(s)
                 complete.append(ok)
-                for path, what, value, at in walk(body) if body is not None else ():
+                for path, what, value, at in walk(body, within) if body is not None else ():
                     paths.append(path)
                     kinds.append(what)
                     values.append(value)

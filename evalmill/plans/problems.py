@@ -136,8 +136,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 # ---- 4. deeply nested semi-structured records
 
 
-def _shredded(spark: SparkSession, d: str) -> DataFrame:
-    return nested.shred(table(spark, d, "raw_responses"), "raw_id", "response")
+def _shredded(spark: SparkSession, d: str, ancestor: str = "", columns: dict[str, str] | None = None) -> DataFrame:
+    paths = nested.REPLY_TABLES if columns is None else [f"{ancestor}.{p}" if ancestor else p for p in columns.values()]
+    return nested.shred(table(spark, d, "raw_responses"), "raw_id", "response", paths)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -151,19 +152,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_responses(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of responses."""
     cols = {"response_id": "id", "model": "model", "provider": "provider", "prompt_tokens": "usage.prompt_tokens", "completion_tokens": "usage.completion_tokens", "error_code": "error.code"}
-    return nested.flat_table(_shredded(spark, d), "", cols, ()).withColumnRenamed("row_id", "raw_id")
+    return nested.flat_table(_shredded(spark, d, "", cols), "", cols, ()).withColumnRenamed("row_id", "raw_id")
 
 
 def p4_choices(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of choices, tied to their response."""
     cols = {"finish_reason": "finish_reason", "role": "message.role", "content": "message.content", "reasoning": "message.reasoning"}
-    return nested.flat_table(_shredded(spark, d), "choices[]", cols, ("choice_pos",)).withColumnRenamed("row_id", "raw_id")
+    return nested.flat_table(_shredded(spark, d, "choices[]", cols), "choices[]", cols, ("choice_pos",)).withColumnRenamed("row_id", "raw_id")
 
 
 def p4_tool_calls(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of tool calls, tied to their choice."""
     cols = {"call_id": "id", "function_name": "function.name", "arguments": "function.arguments"}
-    return nested.flat_table(_shredded(spark, d), "choices[].message.tool_calls[]", cols, ("choice_pos", "child_pos")).withColumnRenamed("row_id", "raw_id")
+    return nested.flat_table(_shredded(spark, d, "choices[].message.tool_calls[]", cols), "choices[].message.tool_calls[]", cols, ("choice_pos", "child_pos")).withColumnRenamed("row_id", "raw_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_admitted, p2_found, p2_report, p3_found, p4_found, p4_responses, p4_choices, p4_tool_calls)}

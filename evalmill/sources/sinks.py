@@ -57,15 +57,22 @@ def write_once(spark: SparkSession, path: str, document: dict, supersede: str |
     stream.close()
 
 
+def _first(df: DataFrame, limit: int) -> tuple[list, str | None]:
+    """At most ``limit`` rows, and a note of how many more there are."""
+    rows = df.limit(limit + 1).collect()
+    return rows[:limit], f"({df.count() - limit} more rows)" if len(rows) > limit else None
+
+
 def text_table(df: DataFrame, widths: dict[str, int], limit: int = 200) -> str:
-    """A fixed-width table of the first rows, for people."""
+    """A fixed-width table of the first rows, for people; a last line says how many rows it leaves out."""
     cells = [F.rpad(F.substring(F.coalesce(F.col(c).cast("string"), F.lit("-")), 1, w), w, " ") for c, w in widths.items()]
     head = " ".join(c[:w].ljust(w) for c, w in widths.items())
-    return "\n".join([head, *[r[0] for r in df.limit(limit).select(F.concat_ws(" ", *cells)).collect()]])  # at most ``limit`` rows
+    rows, more = _first(df.select(F.concat_ws(" ", *cells)), limit)
+    return "\n".join([head, *[r[0] for r in rows], *([more] if more else [])])
 
 
 def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """The first rows as Markdown."""
-    rows = df.limit(limit).collect()  # at most ``limit`` rows
+    """The first rows as Markdown; a last line says how many rows it leaves out."""
+    rows, more = _first(df, limit)
     cell = lambda v: "-" if v is None else str(v).replace("|", r"\|")
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]])
+    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *["| " + " | ".join(cell(v) for v in r) + " |" for r in rows], *(["", more] if more else [])])

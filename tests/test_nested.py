@@ -2,14 +2,17 @@
 
 import json
 
+import pytest
+
 from evalmill.operators import nested
+from evalmill.sources import envelope
 
 CALL = {"id": "c1", "function": {"name": "f", "arguments": "{}"}}
 
 
-def _elements(spark, bodies):
+def _elements(spark, bodies, paths=None):
     df = spark.createDataFrame([(i, b if b is None or isinstance(b, str) else json.dumps(b)) for i, b in enumerate(bodies)], "raw_id bigint, response string")
-    return sorted((r["row_id"], r["child_table"], tuple(r["ordinals"])) for r in nested.elements(nested.shred(df, "raw_id", "response")).collect())
+    return sorted((r["row_id"], r["child_table"], tuple(r["ordinals"])) for r in nested.elements(nested.shred(df, "raw_id", "response", paths)).collect())
 
 
 def test_forms_of_arrays(spark):
@@ -44,3 +47,31 @@ def test_very_long_record(spark):
 def test_empty_table_and_other_columns(spark):
     df = spark.createDataFrame([], "raw_id string, response string, row_id int, triples string")
     assert nested.elements(nested.shred(df, "raw_id", "response")).collect() == []
+
+
+def test_many_wrappers_and_great_depth(spark):
+    body = {"choices": [{"message": {"tool_calls": [CALL]}}]}
+    wrapped = body
+    for i in range(20):
+        wrapped = [wrapped] if i % 2 else {"data": wrapped}
+    deep = '{"choices": [{"message": {"tool_calls": [' + '{"a": [' * 20_000 + "1" + "]}" * 20_000 + "]}}]}"
+    assert _elements(spark, [wrapped, deep, deep[:-1]], nested.REPLY_TABLES) == [(i, t, at) for i in (0, 1) for t, at in (("choices", (0,)), ("tool_calls", (0, 0)))]
+
+
+def test_stacked_reads_what_json_reads():
+    docs = ["null", " 5 ", "-1.5e3", '"a\\u00e4\\n"', "[]", "{}", "[[], {}, [1, 2.0, true, false, null]]", '{"a": {"b": [1, {"c": "d"}]}, "a": 2}', "[NaN, -Infinity]", ' { "x" : [ ] , "y" : { } } ']
+    for d in docs:
+        assert repr(envelope.stacked(d)) == repr(json.loads(d)), d
+    for d in ["", "[", "]", "{", "[1,]", '{"a"}', '{"a":}', '{"a":1,}', "[1 2]", "1 2", "[}", "{]", "nul", '"a', "01", "{1: 2}", '{"a": [}', "[{]"]:
+        for read in (envelope.stacked, json.loads):
+            with pytest.raises(ValueError):
+                read(d)
+
+
+def test_keys_with_points_and_brackets(spark):
+    body = {"usage.prompt_tokens": 9, "usage": {"prompt_tokens": 4, "x[]": 1}, "id": "r", "choices": [{"finish_reason": "stop", "finish_reason.x": "no"}]}
+    df = spark.createDataFrame([(7, json.dumps(body))], "raw_id bigint, response string")
+    for paths in (None, ["id", "usage.prompt_tokens", "choices[].finish_reason"]):
+        s = nested.shred(df, "raw_id", "response", paths)
+        assert [tuple(r) for r in nested.flat_table(s, "", {"id": "id", "n": "usage.prompt_tokens"}, ()).collect()] == [(7, "r", "4")]
+        assert [tuple(r) for r in nested.flat_table(s, "choices[]", {"why": "finish_reason"}, ("pos",)).collect()] == [(7, 0, "stop")]

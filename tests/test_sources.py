@@ -74,6 +74,7 @@ def test_sinks_round_trip(spark, tmp_path):
     with pytest.raises(Exception):
         sinks.write_version(a, str(tmp_path / "v"), 2)
     assert "x" in sinks.text_table(a, {"i": 4, "s": 6}) and "| 1 | x |" in sinks.markdown_table(a)
+    assert sinks.text_table(spark.range(201), {"id": 4}).endswith("(1 more rows)") and "more rows" not in sinks.markdown_table(spark.range(200))
 
 
 def test_write_once(spark, tmp_path):
