@@ -2,9 +2,11 @@
 
 Every document of a source has the same expected number of copies: the source's target tokens over
 its own. Along the documents of a source, ordered by size, the expected copies are summed up, one
-random offset is added, and a document comes out once per integer boundary it crosses; its copies
-are the expected number rounded down or up. The sums are taken in two steps, over small chunks of
-(source, size) and inside each chunk, so a source that holds any share of all rows is spread.
+random offset per source is added, and a document comes out once per integer boundary it crosses; its
+copies are the expected number rounded down or up, and over the offsets they are that number on
+average. The sums are taken in two steps, over chunks of (source, size, salt) and inside each chunk,
+with as many salts as the source's number of documents needs, so a source that holds any share of all
+rows is spread.
 
 Defined cases: sources without targets, NULL sources and documents without tokens are not used;
 targets with NULL or non-positive share or repeats take no part; targets without documents get
@@ -17,13 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
-#: Parts into which documents of equal size in one source are spread.
-SALTS = 64
+#: Documents of one source and size that one task may order; a source of more has more salts.
+CHUNK = 500_000
 SEED = 20_260_101
-#: Random offsets drawn for each source.
-OFFSETS = 32
 
 
 def rates(texts: DataFrame, targets: DataFrame) -> DataFrame:
@@ -40,36 +38,33 @@ def rates(texts: DataFrame, targets: DataFrame) -> DataFrame:
     return both.withColumn("expected_copies", expected)
 
 
-def mixed(texts: DataFrame, targets: DataFrame, seed: int = SEED, salts: int = SALTS) -> DataFrame:
-    """(doc_id, source_name, tokens, copies) of every document used, copies >= 1; texts: doc_id, source, tokens."""
-    texts = cut_lineage(texts.select("doc_id", "source", "tokens"))  # sizes are needed three times
-    plan = rates(texts, targets).filter("source_tokens > 0").select("source_name", "expected_copies")
+def mixed(texts: DataFrame, targets: DataFrame, seed: int = SEED, salts: int | None = None) -> DataFrame:
+    """(doc_id, source_name, tokens, copies) of every document used, copies >= 1; texts: doc_id, source, tokens.
+
+    texts is read three times: cut its lineage where the sizes are costly. salts: parts of each source, by its size where not given.
+    """
+    parts = F.lit(salts) if salts else F.ceil(F.col("n_documents") / CHUNK)
+    plan = rates(texts, targets).filter("source_tokens > 0").select("source_name", "expected_copies", parts.cast("bigint").alias("parts"))
     # sizes above 64 tokens are binned to two leading digits in base 2, so there are few chunks
     step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.col("tokens").cast("double"))) - 5).cast("bigint"))
     chunked = (
         texts.filter("source is not null and tokens > 0")
         .select("doc_id", F.col("source").alias("source_name"), "tokens")
-        .join(plan, "source_name")
+        .join(F.broadcast(plan), "source_name")  # one row per target source, a list made by hand
         .withColumn("bin", (F.floor(F.col("tokens") / step) * step).cast("bigint"))
-        .withColumn("salt", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(salts)).cast("int"))
+        .withColumn("salt", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "parts").cast("int"))
+        .drop("parts")
     )
     counts = chunked.groupBy("source_name", "bin", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source_name").orderBy("bin", "salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("source_name", "bin", "salt").orderBy("tokens", "doc_id")
     place = chunked.withColumn("place", F.row_number().over(inside)).join(starts, ["source_name", "bin", "salt"])
+    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "source_name"), F.lit(1 << 30)) / (1 << 30)
+    reached = lambda n: F.floor(n * F.col("expected_copies") + offset + 1e-9)
     rank = F.col("start") + F.col("place")
-    ranked = cut_lineage(place.select("doc_id", "source_name", "tokens", "expected_copies", rank.alias("rank")))
-    draws = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(j), "source_name"), F.lit(1_000_000)) / 1_000_000).alias(f"u{j}") for j in range(OFFSETS)]
-
-    def copies(u):
-        reached = lambda n: F.floor(n * F.col("expected_copies") + u + 1e-9)
-        return reached(F.col("rank")) - reached(F.col("rank") - 1)
-
-    target = F.sum(F.col("tokens") * F.col("expected_copies"))
-    tried = ranked.select("*", *draws).groupBy("source_name").agg(*[F.struct(F.abs(F.sum(copies(F.col(f"u{j}")) * F.col("tokens")) - target).alias("off"), F.first(f"u{j}").alias("u")).alias(f"t{j}") for j in range(OFFSETS)])
-    best = tried.select("source_name", F.array_min(F.array(*[f"t{j}" for j in range(OFFSETS)]))["u"].alias("u"))
-    return ranked.join(best, "source_name").withColumn("copies", copies(F.col("u")).cast("int")).filter("copies > 0").select("doc_id", "source_name", "tokens", "copies")
+    copies = (reached(rank) - reached(rank - 1)).cast("int")
+    return place.select("doc_id", "source_name", "tokens", copies.alias("copies")).filter("copies > 0")
 
 
 def share_report(texts: DataFrame, targets: DataFrame, mix: DataFrame) -> DataFrame:

@@ -90,14 +90,14 @@ def pack(sizes: list[int], capacity: int) -> tuple[list[list[tuple[int, int]]],
     return pieces, fill
 
 
-def packed(texts: DataFrame, capacities: list[tuple[str, int]], shard: int = SHARD) -> DataFrame:
+def packed(texts: DataFrame, capacities: list[tuple[str, int]], shard: int = SHARD, n_texts: int | None = None) -> DataFrame:
     """(container_kind, capacity, doc_id, piece, container, tokens, container_fill) of (doc_id, tokens).
 
     container is unique within its kind: shard number, then number in the shard. capacities is a
-    short fixed list.
+    short fixed list. n_texts: how many texts there are, where that is known without finding their sizes.
     """
     kinds = [(str(k), int(c)) for k, c in capacities if k is not None and c is not None and c > 0]
-    n = texts.count()
+    n = texts.count() if n_texts is None else n_texts
     shards = max(1, -(-n // shard))
     doc_type = dict(texts.dtypes)["doc_id"]
     of_kind = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity")) for k, c in kinds])) if kinds else None
@@ -128,7 +128,11 @@ def packed(texts: DataFrame, capacities: list[tuple[str, int]], shard: int = SHA
 
 
 def fill_report(packing: DataFrame) -> DataFrame:
-    """Per kind: texts, containers, tokens, the containers that tokens alone would need, and the share of room used."""
+    """Per kind: containers, tokens, the containers that tokens alone would need, and the share of room used.
+
+    No packing, in shards or as a whole, needs fewer than least_containers, so n_containers - least_containers
+    bounds what the shards lose.
+    """
     per = packing.filter("container is not null").groupBy("container_kind", "capacity", "container").agg(F.sum("tokens").alias("tokens"))
     return per.groupBy("container_kind", "capacity").agg(
         F.count(F.lit(1)).alias("n_containers"), F.sum("tokens").alias("tokens"), F.ceil(F.sum("tokens") / F.first("capacity")).cast("bigint").alias("least_containers"),

@@ -54,8 +54,8 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     """The containers of each text, for every kind of container."""
-    sizes = tokens.sized(table(spark, d, "documents"), "text", ["doc_id"])
-    return packing.packed(sizes, _capacities(spark, d))
+    documents = table(spark, d, "documents")
+    return packing.packed(tokens.sized(documents, "text", ["doc_id"]), _capacities(spark, d), n_texts=documents.count())
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def _capacities(spark: SparkSession, d: str) -> list[tuple[str, int]]:
 
 def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
     """The documents used and how often."""
-    sizes = tokens.sized(table(spark, d, "documents"), "text", ["doc_id", "source"])
+    sizes = cut_lineage(tokens.sized(table(spark, d, "documents"), "text", ["doc_id", "source"]))  # needed three times
     return mixing.mixed(sizes, table(spark, d, "mix_targets"))
 
 
