@@ -2,7 +2,7 @@
 
 import random
 
-from evalmill.llm import mixing, packing
+from evalmill.llm import mixing, packing, tokens
 
 SIZES = "doc_id bigint, tokens bigint, shard int"
 
@@ -89,3 +89,9 @@ def test_equal_sizes_cross_each_boundary_once(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source_name string, target_share double, max_repeats int")
     used = {s: sum(r["copies"] for r in mixing.mixed(texts, targets, salts=2).collect() if r["source_name"] == s) for s in "ab"}
     assert used == {"a": 40, "b": 40}
+
+
+def test_both_forms_of_a_vocabulary_count_alike():
+    texts = ["", "a b  c", "It's 12,345 naïve 漢字 😀\n\n\t x", "<|endoftext|> is text", "word " * 500, "z" * 5000]
+    ranks, whole = (tokens.counter(f"/opt/tokenizers/byte_bpe_50k.{end}") for end in ("tiktoken", "json"))
+    assert ranks(texts) == whole(texts) and ranks([""]) == [0]
