@@ -25,6 +25,11 @@ END_SHARE = 0.05
 #: Share of unmarked text ends that, when exceeded, shows that people do stop there.
 STOP_SHARE = 0.2
 
+#: Letters from which a word's beginnings are looked up one by one.
+LONG_WORD = 64
+#: Buckets of the fixed-size sets that tell which word runs can meet an end.
+MEETING = 1 << 20
+
 _SPACE = r"[\s\p{Z}\p{Cf}]"
 _CUT_WORD = r"[a-z ]*(?:cut|truncat|snip|continu|omit)[a-z ]*"
 #: Patterns of the SQL below, by parameter name.
@@ -74,6 +79,30 @@ def _words(sentence: str) -> str:
     return f"filter(transform(split({spaced}, '[[:space:]]+'), w -> regexp_replace(w, :edge, '')), w -> w <> '')".replace("[[:space:]]", "[ \\\\t\\\\x0B\\\\f]")
 
 
+def _begun(spark: SparkSession, place: str, word: str, total: str, words: DataFrame, ends: DataFrame, where: str = "true") -> DataFrame:
+    """place, word, longer: per place and beginning of a word, the total over the longer words there that begin so.
+
+    Beginnings shorter than LONG_WORD come from every word; longer ones, as of encoded data, only where an
+    end is one, by their first LONG_WORD letters, so a long word gives no more rows than a short one.
+    """
+    at = f"{place}, " if place else ""
+    on = " and ".join([f"e.{c.strip()} = t.{c.strip()}" for c in place.split(",") if c.strip()] + [f"left(e.{word}, {LONG_WORD}) = left(t.{word}, {LONG_WORD})"])
+    of_end = "".join(f"e.{c.strip()}, " for c in place.split(",") if c.strip())
+    return _sql(
+        spark,
+        f"""
+        select {at}left({word}, k) as {word}, {total} as longer
+        from {{words}} lateral view explode(sequence(1, least({LONG_WORD} - 1, length({word}) - 1))) as k where length({word}) > 1 and {where}
+        group by all
+        union all
+        select {of_end}e.{word}, {total} as longer
+        from (select distinct {at}{word} from {{ends}} where length({word}) >= {LONG_WORD}) e
+        join (select * from {{words}} where length({word}) > {LONG_WORD} and {where}) t on {on} and length(t.{word}) > length(e.{word}) and startswith(t.{word}, e.{word})
+        group by all""",
+        words=words, ends=ends,
+    )
+
+
 def truncated_texts(rows: DataFrame) -> DataFrame:
     """row_id of the truncated rows of (row_id, text)."""
     spark, rows = rows.sparkSession, rows.select("row_id", "text")
@@ -102,48 +131,7 @@ def truncated_texts(rows: DataFrame) -> DataFrame:
     )
     pieces = cut_lineage(pieces)
     counted = _sql(spark, "select s, kind = 'stop' as stop, n from {pieces} where kind <> 'name'", pieces=pieces)
-    # 2. word runs inside and at ends: trigrams, and runs of five where there is such a history
-    runs = _sql(
-        spark,
-        f"""
-        select w1, w2, w3, if(long, w0, null) as w0, sum(if(not last, n, 0)) as inside, sum(if(last and not stop, n, 0)) as ends, sum(if(last and stop, n, 0)) as stops
-        from (
-            select n, stop, long, get(pp, i - 2) as w1, get(pp, i - 1) as w2, get(pp, i) as w3, concat_ws(' ', get(pp, i - 4), get(pp, i - 3)) as w0, i = size(pp) - 1 as last
-            from {{counted}}
-            lateral view explode(array(concat(array('^', '^', '^', '^'), {_words('s')}))) as pp
-            lateral view explode(sequence(4, greatest(4, size(pp) - 1))) as i
-            lateral view explode(array(true, false)) as long
-            where size(pp) > 4)
-        group by 1, 2, 3, 4""",
-        counted=counted,
-    )
-    runs = cut_lineage(runs)  # read several times below
-    grams = _sql(spark, "select w1, w2, w3, inside, ends, stops from {runs} where w0 is null", runs=runs)
-    fives = _sql(spark, "select w0, w1, w2, w3, inside, ends from {runs} where w0 is not null", runs=runs)
-    # 3. how many occurrences a word cut short could stand for, in its place
-    begun = _sql(
-        spark,
-        """
-        select w1, w2, substring(w3, 1, k) as w3, sum(inside + ends) as longer
-        from {grams} lateral view explode(sequence(1, length(w3) - 1)) as k
-        where length(w3) > 1 and inside + ends > 0
-        group by 1, 2, 3""",
-        grams=grams,
-    )
-    pairs = _sql(spark, "select w2, w3, sum(inside) as inside, sum(ends) as ends from {grams} group by 1, 2", grams=grams)
-    begun_pairs = _sql(
-        spark,
-        "select w2, substring(w3, 1, k) as w3, sum(inside + ends) as longer from {pairs} lateral view explode(sequence(1, length(w3) - 1)) as k where length(w3) > 1 group by 1, 2",
-        pairs=pairs,
-    )
-    # names are alike in the runs; their own spelling tells whether one was cut inside
-    names = _sql(spark, "select s as w, n from {pieces} where kind = 'name'", pieces=pieces)
-    cut_names = _sql(
-        spark,
-        "select substring(w, 1, k) as w, sum(n) as n_longer from {names} lateral view explode(sequence(1, length(w) - 1)) as k where length(w) > 1 group by 1",
-        names=names,
-    )
-    # 4. last pieces of the texts that do not close, and texts closed by a point that an exact sign shows to be cut;
+    # 2. last pieces of the texts that do not close, and texts closed by a point that an exact sign shows to be cut;
     # most texts fail the tests of their last characters, which come first
     item = "coalesce(try_cast(regexp_extract(body, :item, 1) as bigint) + 1 = try_cast(regexp_extract(body, :item, 2) as bigint), false)"
     signs = rf"""(right(body, 1) rlike :pointed and (right(body, 40) rlike :cut_value or right(body, 12) rlike :cut_item and {item}
@@ -162,11 +150,41 @@ def truncated_texts(rows: DataFrame) -> DataFrame:
     )
     last = cut_lineage(last)
     ends = _sql(spark, "select distinct w0, w1, w2, w3, if(w3 = 'n', name, null) as name from {last} where w3 is not null", last=last)
+    # 3. word runs inside and at ends: trigrams, and runs of five where there is such a history. Only runs that can
+    # meet an end are exchanged: those after its last word but one and with its first letter, or equal to it
+    near = _sql(spark, f"select distinct pmod(xxhash64(w2, left(w3, 1)), {MEETING}) as bucket from {{ends}}", ends=ends)
+    same = _sql(spark, f"select distinct pmod(xxhash64(w0, w1, w2, w3), {MEETING}) as bucket from {{ends}}", ends=ends)
+    runs = _sql(
+        spark,
+        f"""
+        select /*+ broadcast(m) */ w1, w2, w3, if(long, w0, null) as w0, sum(if(not last, n, 0)) as inside, sum(if(last and not stop, n, 0)) as ends, sum(if(last and stop, n, 0)) as stops
+        from (
+            select n, stop, long, get(pp, i - 2) as w1, get(pp, i - 1) as w2, get(pp, i) as w3, concat_ws(' ', get(pp, i - 4), get(pp, i - 3)) as w0, i = size(pp) - 1 as last
+            from {{counted}}
+            lateral view explode(array(concat(array('^', '^', '^', '^'), {_words('s')}))) as pp
+            lateral view explode(sequence(4, greatest(4, size(pp) - 1))) as i
+            lateral view explode(array(true, false)) as long
+            where size(pp) > 4) r
+        left semi join (select bucket, false as long from {{near}} union all select bucket, true from {{same}}) m
+            on m.long = r.long and m.bucket = pmod(if(r.long, xxhash64(w0, w1, w2, w3), xxhash64(w2, left(w3, 1))), {MEETING})
+        group by 1, 2, 3, 4""",
+        counted=counted, near=near, same=same,
+    )
+    runs = cut_lineage(runs)  # read several times below
+    grams = _sql(spark, "select w1, w2, w3, inside, ends, stops from {runs} where w0 is null", runs=runs)
+    fives = _sql(spark, "select w0, w1, w2, w3, inside, ends from {runs} where w0 is not null", runs=runs)
+    # 4. how many occurrences a word cut short could stand for, in its place
+    begun = _begun(spark, "w1, w2", "w3", "sum(inside + ends)", grams, ends, "inside + ends > 0")
+    pairs = _sql(spark, "select w2, w3, sum(inside) as inside, sum(ends) as ends from {grams} group by 1, 2", grams=grams)
+    begun_pairs = _begun(spark, "w2", "w3", "sum(inside + ends)", pairs, ends)
+    # names are alike in the runs; their own spelling tells whether one was cut inside
+    names = _sql(spark, "select s as w, n from {pieces} where kind = 'name'", pieces=pieces)
+    cut_names = _begun(spark, "", "w", "sum(n)", names, _sql(spark, "select name as w from {ends} where name is not null", ends=ends))
     judged = _sql(
         spark,
         f"""
         select e.*,
-            case when v.w is not null and v.n >= 3 then false else coalesce(c.n_longer > 3 * coalesce(v.n, 0), false) end
+            case when v.w is not null and v.n >= 3 then false else coalesce(c.longer > 3 * coalesce(v.n, 0), false) end
             or case when f.inside + f.ends >= 2 then f.ends < {END_SHARE} * f.inside
                  when g.inside + g.ends > 0 then g.ends < {END_SHARE} * (g.inside + coalesce(b.longer, 0)) and g.stops < {STOP_SHARE} * (g.inside + coalesce(b.longer, 0)) + 1.5
                  when b.longer > 0 then coalesce(g.stops, 0) < {STOP_SHARE} * b.longer + 1.5

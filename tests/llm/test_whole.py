@@ -49,3 +49,13 @@ def test_copies_of_a_prompt_that_ends_like_an_answer(spark):
     replies = spark.createDataFrame(rows, "row_id bigint, item_id string, text string")
     out = pairs.defective_pairs(replies, items, replies.select("row_id", "text")).filter("defect = 'copies_question'").collect()
     assert {r["row_id"] for r in out} == {r[0] for r in copied}
+
+
+def test_very_long_words(spark):
+    rows, cut = _cut_rows()
+    rnd = random.Random(7)
+    blob = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH") for _ in range(100_000))
+    rows += [(400000 + i, f"The file of Arlon holds {blob} as it was sent on {i} May.") for i in range(30)]
+    rows += [(410000 + i, f"The file of Arlon holds {blob[: 60 + 5 * i]}") for i in range(5)]
+    found = {r["row_id"] for r in truncation.truncated_texts(spark.createDataFrame(rows, "row_id bigint, text string")).collect()}
+    assert found == cut | {410000 + i for i in range(5)}
