@@ -1,7 +1,8 @@
 """Language posteriors from character n-gram naive Bayes.
 
 The models are trained here, on one paragraph of seed text in each language and not on the corpus, so
-rare wording and short replies rest on few n-grams; pairs asks for wide margins for that reason.
+rare wording and short replies rest on few n-grams; pairs asks for wide margins for that reason. Scripts
+that one language mostly uses are told by their letters: each letter counts as the same sign.
 """
 
 from __future__ import annotations
@@ -26,23 +27,41 @@ SEEDS = {
     "pl": "Pytanie brzmi, czy stanie się to przed końcem miesiąca. Myślę, że nie jest to prawdopodobne, ponieważ zostało mało czasu, a druga strona nic o tym nie powiedziała. Moja odpowiedź jest taka, że musieliby zmienić to, co robią od zeszłego roku, a większość ludzi, których o to zapytano, w to nie wierzy. Jeśli spojrzeć na liczby, tylko jedna z nich była właściwa. Powinniśmy poczekać na więcej wiadomości z miasta, które mogą jeszcze wpłynąć na nasz pogląd. Nie mogę w tym pomóc.",
     "sv": "Frågan är om detta kommer att hända före månadens slut. Jag tror inte att det är troligt, eftersom det är lite tid kvar och den andra sidan inte har sagt något om det. Mitt svar är att de skulle behöva ändra vad de har gjort sedan förra året, och de flesta människor som tillfrågades tror inte på det. Om man ser på siffrorna var bara en av dem rätt. Vi bör vänta på fler nyheter från staden, som fortfarande kan påverka vår syn. Jag kan inte hjälpa till med detta.",
     "tr": "Soru, bunun ay sonundan önce olup olmayacağıdır. Bunun olası olmadığını düşünüyorum, çünkü az zaman kaldı ve diğer taraf bu konuda hiçbir şey söylemedi. Cevabım, geçen yıldan beri yaptıklarını değiştirmeleri gerekeceğidir ve sorulan insanların çoğu buna inanmıyor. Sayılara bakarsanız, bunlardan yalnızca biri doğruydu. Şehirden gelecek daha fazla haberi beklemeliyiz, bu hâlâ görüşümüzü etkileyebilir. Bu konuda yardımcı olamam.",
-    "ru": "Вопрос в том, произойдёт ли это до конца месяца. Я думаю, что это маловероятно, потому что времени осталось мало, а другая сторона ничего об этом не сказала. Мой ответ таков, что им пришлось бы изменить то, что они делали с прошлого года, и большинство людей, которых об этом спросили, в это не верят. Если посмотреть на цифры, только одна из них была верной. Нам следует подождать новых известий из города, которые ещё могут повлиять на наше мнение. Я не могу с этим помочь.",
+    "ru": "Вопрос в том, произойдёт ли это до конца месяца. Я думаю, что это маловероятно, потому что времени осталось мало, а другая сторона ничего об этом не сказала. Мой ответ таков, что им пришлось бы изменить то, что они делали с прошлого года, и большинство людей, которых об этом спросили, в это не верят. Если посмотреть на цифры, только одна из них была верной. Нам следует подождать новых известий из города, которые ещё могут повлиять на наше мнение. Я не могу с этим помочь. Это составляет около половины всех таких случаев, и сообщения остаются противоречивыми. Суд ещё не вынес решения, поэтому оценка остаётся прежней.",
     "zh": "漢漢漢漢漢漢漢漢漢，漢漢漢漢漢漢漢漢。漢漢漢漢漢漢漢漢漢漢漢，漢漢漢漢漢漢漢漢漢漢。漢漢漢漢漢漢漢漢漢漢漢漢。漢漢漢漢，漢漢漢漢漢漢漢漢漢漢漢。",
     "ja": "漢漢かな漢かな漢漢かなかなかな。かなかな漢漢かな漢かなかなかな、漢漢かな漢漢かなかな。漢かなかな漢漢漢かなかなかな漢かなかな。",
     "ko": "한한 한한한 한한한 한한. 한한한한 한한 한한한 한한한, 한한한 한한 한한한한 한한. 한한 한한한 한한.",
+    "cs": "Otázkou je, zda se to stane před koncem měsíce. Myslím, že to není pravděpodobné, protože zbývá málo času a druhá strana k tomu nic neřekla. Moje odpověď je, že by museli změnit to, co dělají od loňského roku, a většina lidí, kterých se na to ptali, tomu nevěří. Když se podíváte na čísla, jen jedno z nich bylo správné. Měli bychom počkat na další zprávy z města, které ještě mohou ovlivnit náš pohled. S tím bohužel nemohu pomoci.",
+    "fi": "Kysymys on siitä, tapahtuuko tämä ennen kuun loppua. En usko, että se on todennäköistä, koska aikaa on vähän jäljellä eikä toinen osapuoli ole sanonut asiasta mitään. Vastaukseni on, että heidän pitäisi muuttaa sitä, mitä he ovat tehneet viime vuodesta lähtien, ja useimmat ihmiset, joilta kysyttiin, eivät usko siihen. Jos katsoo lukuja, vain yksi niistä oli oikein. Meidän pitäisi odottaa lisää uutisia kaupungista. En voi auttaa tässä.",
+    "vi": "Câu hỏi là liệu điều này có xảy ra trước cuối tháng hay không. Tôi nghĩ rằng điều đó không có khả năng, vì thời gian còn lại rất ít và bên kia chưa nói gì về việc này. Câu trả lời của tôi là họ sẽ phải thay đổi những gì họ đã làm từ năm ngoái, và hầu hết những người được hỏi không tin vào điều đó. Nếu nhìn vào các con số, chỉ có một trong số đó là đúng. Chúng ta nên chờ thêm tin tức từ thành phố. Tôi không thể giúp việc này.",
+    "da": "Spørgsmålet er, om det vil ske inden udgangen af måneden. Jeg tror ikke, at det er sandsynligt, fordi der er kun lidt tid tilbage, og den anden side har ikke sagt noget om det. Mit svar er, at de skulle ændre det, de har gjort siden sidste år, og de fleste mennesker, der blev spurgt, tror ikke på det. Hvis man ser på tallene, var kun et af dem rigtigt. Vi bør vente på flere nyheder fra byen. Jeg kan ikke hjælpe med dette.",
+    "hu": "A kérdés az, hogy ez megtörténik-e a hónap vége előtt. Úgy gondolom, hogy nem valószínű, mert kevés idő maradt, és a másik fél nem mondott róla semmit. A válaszom az, hogy meg kellene változtatniuk azt, amit tavaly óta csinálnak, és a legtöbb megkérdezett ember nem hisz benne. Ha megnézzük a számokat, csak az egyik volt helyes. Várnunk kellene további hírekre a városból. Sajnos ebben nem tudok segíteni.",
+    "ro": "Întrebarea este dacă acest lucru se va întâmpla înainte de sfârșitul lunii. Cred că nu este probabil, pentru că a rămas puțin timp, iar cealaltă parte nu a spus nimic despre asta. Răspunsul meu este că ar trebui să schimbe ceea ce fac de anul trecut, iar cei mai mulți dintre oamenii întrebați nu cred în asta. Dacă ne uităm la cifre, doar una dintre ele era corectă. Ar trebui să așteptăm mai multe știri din oraș. Nu pot ajuta cu această cerere.",
+    "id": "Pertanyaannya adalah apakah hal ini akan terjadi sebelum akhir bulan. Saya pikir itu tidak mungkin, karena waktu yang tersisa sedikit dan pihak lain belum mengatakan apa pun tentang hal itu. Jawaban saya adalah bahwa mereka harus mengubah apa yang telah mereka lakukan sejak tahun lalu, dan sebagian besar orang yang ditanya tidak percaya akan hal itu. Jika kita melihat angka-angkanya, hanya satu yang benar. Kita harus menunggu berita lain dari kota. Saya tidak dapat membantu dengan permintaan ini.",
+    "uk": "Питання в тому, чи станеться це до кінця місяця. Я думаю, що це малоймовірно, бо часу залишилося мало, а інша сторона нічого про це не сказала. Моя відповідь така, що їм довелося б змінити те, що вони робили з минулого року, і більшість людей, яких про це запитали, у це не вірять. Якщо подивитися на цифри, лише одна з них була правильною. Нам слід почекати нових звісток із міста. Я не можу з цим допомогти.",
     "ar": "السؤال هو ما إذا كان هذا سيحدث قبل نهاية الشهر. أعتقد أنه غير محتمل لأن الوقت المتبقي قليل ولم يقل الطرف الآخر شيئا عن ذلك. لا أستطيع المساعدة في هذا الطلب. يجب أن ننتظر المزيد من الأخبار.",
 }
+#: Scripts told by their letters alone: the first and last code point of each, and its language or name.
+_SCRIPTS = {"el": (0x370, 0x3FF), "hy": (0x530, 0x58F), "he": (0x590, 0x5FF), "hi": (0x900, 0x97F), "bn": (0x980, 0x9FF), "pa": (0xA00, 0xA7F), "gu": (0xA80, 0xAFF), "ta": (0xB80, 0xBFF), "te": (0xC00, 0xC7F), "kn": (0xC80, 0xCFF),
+            "ml": (0xD00, 0xD7F), "si": (0xD80, 0xDFF), "th": (0xE00, 0xE7F), "lo": (0xE80, 0xEFF), "bo": (0xF00, 0xFFF), "my": (0x1000, 0x109F), "ka": (0x10A0, 0x10FF), "am": (0x1200, 0x137F), "km": (0x1780, 0x17FF)}
+_SIGN = {k: next(chr(c) for c in range(a, b + 1) if chr(c).isalpha() and chr(c) == chr(c).lower()) for k, (a, b) in _SCRIPTS.items()}
+SEEDS |= {k: " ".join(c * n for n in (2, 5, 3, 7, 4, 1, 6, 8, 3, 5)) + "." for k, c in _SIGN.items()}
 LANGUAGES = list(SEEDS)
 
 _QUOTED = re.compile(r"„[^“”\"]*(?:[“”\"]|$)|“[^”]*(?:”|$)|«[^»]*(?:»|$)|\"[^\"\n]*\"|\\boxed\{[^}]*\}|\\\w+|<[^>]{1,40}>|&\w+;|\{[^}]*\}")
 _NAME = re.compile(r"(?<=[^\W\d_A-Z] )[A-ZÀ-Þ][\w'’]*(?: [A-ZÀ-Þ][\w'’]*)*")
 _HAN, _KANA, _HANGUL = re.compile(r"[㐀-鿿豈-﫿]"), re.compile(r"[぀-ヿ]"), re.compile(r"[가-힯]")
+_SCRIPT = {k: re.compile(f"[{chr(a)}-{chr(b)}]+") for k, (a, b) in _SCRIPTS.items()}
+_RARE = re.compile("[\u0370-\u03ff\u0530-\u05ff\u0900-\u137f\u1780-\u17ff]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
 def prose(text: str) -> str:
     """What tells a text's language: its own words, without quotations, answers, names and numbers."""
     t = _NAME.sub(" ", _QUOTED.sub(" ", text))
+    if _RARE.search(t):
+        for k, letters in _SCRIPT.items():
+            t = letters.sub(lambda m, c=_SIGN[k]: c * len(m.group()), t)
     t = _HANGUL.sub("한", _KANA.sub("か", _HAN.sub("漢", t)))
     return f" {_OTHER.sub(' ', t.lower()).strip()} "
 
@@ -52,14 +71,10 @@ def seed_counts() -> np.ndarray:
     return np.stack([ngrams.count_texts([prose(s)], N, BUCKETS) for s in SEEDS.values()])
 
 
-def model(counts: np.ndarray | None = None) -> np.ndarray:
-    """Log probabilities per language: from the seeds, and with them in equal parts from corpus counts where there are any."""
+def model() -> np.ndarray:
+    """Log probabilities per language."""
     seeds = seed_counts()
-    p = seeds / seeds.sum(axis=1, keepdims=True)
-    if counts is not None:
-        n = counts.sum(axis=1, keepdims=True)
-        p = np.where(n > 0, (p + counts / np.maximum(n, 1)) / 2, p)
-    return np.log(p + FLOOR).astype(np.float32)
+    return np.log(seeds / seeds.sum(axis=1, keepdims=True) + FLOOR).astype(np.float32)
 
 
 def posteriors(texts: list[str | None], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

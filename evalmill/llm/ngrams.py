@@ -1,19 +1,12 @@
 """Character n-gram models over hashed buckets.
 
 A model is a table of fixed size (classes x buckets), whatever the corpus, so it may be collected and
-sent to every task. Counts over a corpus are summed inside each partition before the exchange.
+sent to every task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..session import spread
 
 #: Separates the texts of a batch; part of no n-gram.
 _GAP = "\x00"
@@ -45,40 +38,6 @@ def count_texts(texts: list[str], n: int, buckets: int) -> np.ndarray:
     return np.bincount(hashed(texts, n, buckets)[0], minlength=buckets)
 
 
-def corpus_counts(df: DataFrame, text: str, n: int, buckets: int, prepare: Callable[[str], str], label: str | None = None, labels: list[str] | None = None, distinct: bool = False) -> np.ndarray:
-    """Counts (labels x buckets, one row without labels) over every text of df, or over its distinct texts.
-
-    NULL texts and texts of other labels count nothing. At most labels x buckets sums are collected.
-    """
-    names = labels or [""]
-    cols = [F.col(text).cast("string").alias("t"), (F.col(label) if label else F.lit("")).alias("l")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), buckets), np.int64)
-        at = {k: i for i, k in enumerate(names)}
-        for b in batches:
-            by: dict[int, list[str]] = {}
-            for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if t and k in at:
-                    by.setdefault(at[k], []).append(prepare(t))
-            for i, texts in by.items():
-                total[i] += count_texts(texts, n, buckets)
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i * buckets + j), pa.array(total[i, j])], names=["cell", "n"])
-
-    rows = df.select(*cols)
-    sums = (rows.distinct() if distinct else spread(rows)).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(names) * buckets, np.int64)
-    out[sums["cell"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
-    return out.reshape(len(names), buckets)
-
-
-def log_probabilities(counts: np.ndarray, floor: float) -> np.ndarray:
-    """Log probabilities of each bucket in each row, with a floor that does not depend on the corpus's size."""
-    c = counts.astype(np.float64)
-    return np.log(c / np.maximum(c.sum(axis=-1, keepdims=True), 1) + floor).astype(np.float32)
-
-
 def text_scores(texts: list[str], n: int, logp: np.ndarray, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """(sum of log probabilities per text and class, n-grams per text); a few texts at a time, so that the work stays in the cache."""
     table = np.ascontiguousarray(logp.T)

@@ -25,17 +25,18 @@ from . import languages, truncation
 MIN_GRAMS, MARGIN = 20, 0.4
 #: The margin a reply must have in all, so that a few words decide nothing.
 TOTAL_MARGIN = 18
-#: Margin per n-gram from which a prompt's language is sure.
+#: Margin per n-gram up to which a language is plausible beside a prompt's best.
 SURE = 0.3
-#: Share of the prompts below which a language is no language of prompts.
-PROMPT_SHARE = 0.01
+#: Characters at the end that are searched for an answer first.
+TAIL = 240
+#: The same in all.
+PROMPT_MARGIN = 30
 #: Letters and digits a copy must have; less is an answer value that the prompt offers too.
 MIN_COPY = 20
 #: A prompt sent with an instruction of its arm is copied with it: so many letters and digits of the
 #: item's own prompt, and this share of the reply, make a copy too.
 LONG_COPY, COPIED_SHARE = 150, 0.75
 
-_SPACE = r"[\s\p{Z}\p{Cf}]"
 #: Nothing but markup, labels or an answer marker without content.
 EMPTY = (
     r"(?i)^(?:[^\p{L}\p{Nd}]|\\(?:boxed|text)|</?[a-z]+/?>|&[a-z]+;|(?:the |my )?(?:final )?(?:answer|result|output|response)|(?:meine |endgültige )?antwort|(?:mi )?respuesta(?: final)?"
@@ -84,27 +85,15 @@ def _languages(df: DataFrame, key: str, text: str, carry: list[str]) -> DataFram
     return df.select(key, *carry, text).mapInArrow(run, schema)
 
 
-def _best(scores: str) -> Column:
-    return F.array_position(F.col(scores), F.array_max(scores)).cast("int")
-
-
 def prompt_languages(items: DataFrame) -> DataFrame:
-    """item_id, prompt (letters and digits) and language (1-based) of each item.
+    """item_id, prompt (letters and digits) and plausible (per language, whether the prompt may be in it).
 
-    The language is the best among those that at least PROMPT_SHARE of all prompts have; their
-    shares are the priors, of which only the support matters at this length. A prompt without a clear
-    language, such as one that is nothing but an error page, has none.
+    Plausible are the best language and those that the prompt does not set apart from it; a prompt of few n-grams has none.
     """
     one = items.groupBy("item_id").agg(F.min("prompt").alias("prompt"))
     scored = _languages(one.withColumn("text", F.col("prompt")), "item_id", "text", ["prompt"])
-    shares = scored.filter(F.col("grams") >= MIN_GRAMS).groupBy(_best("scores").alias("l")).agg(F.count(F.lit(1)).alias("n"))
-    rows = {r["l"]: r["n"] for r in shares.collect()}  # one row per language
-    used = [k for k, n in rows.items() if n >= PROMPT_SHARE * sum(rows.values())] or list(range(1, len(languages.LANGUAGES) + 1))
-    allowed = F.transform("scores", lambda s, i: F.when((i + 1).isin(used), s).otherwise(F.lit(-1e9).cast("float")))
-    top = F.sort_array(allowed, asc=False)
-    sure = (F.col("grams") >= MIN_GRAMS) & ((len(used) == 1) | (top[0] - top[1] > SURE))
-    language = F.when(sure, F.array_position(allowed, F.array_max(allowed)).cast("int"))
-    return scored.select("item_id", _alnum(F.col("prompt")).alias("prompt"), language.alias("language"))
+    near = F.transform("scores", lambda s: F.array_max("scores") - s <= F.greatest(F.lit(SURE), PROMPT_MARGIN / F.col("grams")))
+    return scored.select("item_id", _alnum(F.col("prompt")).alias("prompt"), F.when(F.col("grams") >= MIN_GRAMS, near).alias("plausible"))
 
 
 def defective_pairs(replies: DataFrame, items: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -114,7 +103,10 @@ def defective_pairs(replies: DataFrame, items: DataFrame, corpus: DataFrame) ->
     replies judged.
     """
     bare = F.col("text").isNull() | F.col("text").rlike(EMPTY)
-    answered = F.substring("text", -240, 240).rlike(ANSWERED)
+    # the last box is looked at as a whole, and of a text that ends with much markup all of it
+    tail = F.when(F.right("text", F.lit(TAIL)).rlike(r"^[\s*_.$\p{Cf}]+$"), F.col("text")).otherwise(F.right("text", F.lit(TAIL)))
+    box = F.concat(F.lit("\\boxed{"), F.substring_index("text", "\\boxed{", -1))
+    answered = tail.rlike(ANSWERED) | (F.contains("text", F.lit("\\boxed{")) & (F.length(box) > TAIL) & box.rlike(ANSWERED))
     plain = replies.select("row_id", "item_id", "text").withColumn("bare", F.coalesce(bare, F.lit(True))).withColumn("open", ~F.col("bare") & ~answered)
     refused = F.when(F.col("open"), F.col("text").rlike(REFUSAL)).otherwise(False)
     pieces = F.filter(F.transform(F.split(F.col("text"), r"[\r\n]+"), lambda s: _alnum(F.regexp_replace(s, _LABEL, ""))), lambda s: s != "")
@@ -131,7 +123,7 @@ def defective_pairs(replies: DataFrame, items: DataFrame, corpus: DataFrame) ->
     last = F.get("pieces", F.size("pieces") - 1)
     copied_end = F.endswith(F.col("prompt"), F.right(F.array_join("pieces", ""), F.lit(MIN_COPY))) | ((F.length(last) >= MIN_COPY) & F.contains(F.col("prompt"), last))
     copies &= F.col("open") | copied_end
-    ahead = F.array_max("scores") - F.get("scores", F.col("language") - 1)
+    ahead = F.array_max("scores") - F.array_max(F.zip_with("scores", "plausible", lambda s, own: F.when(own, s)))
     other = (F.col("grams") >= MIN_GRAMS) & (ahead > MARGIN) & (ahead * F.col("grams") > TOTAL_MARGIN) & ~F.col("bare")
     cut = truncation.truncated_texts(corpus).select("row_id", F.lit(True).alias("cut"))
     judged = joined.withColumn("copies", F.coalesce(copies, F.lit(False))).join(cut, "row_id", "left")

@@ -34,8 +34,8 @@ ROUNDS, INNER = 3, 8
 BOOTS = 2
 #: Sentences, and share of the subject-bearing ones, from which an unlabelled document counts for an anchor.
 SURE_SENTENCES, SURE_SHARE = 2, 0.3
-#: Share of all sentences below which a language is taken for a misjudged one.
-TONGUE_SHARE = 0.02
+#: N-grams, and margin per n-gram, from which a labelled document is clearly in a language.
+TONGUE_GRAMS, TONGUE_MARGIN = 200, 0.25
 #: How much more often than elsewhere an anchor is said in its subject's documents.
 LIFT = 2.0
 #: Start weight of a subject that a labelled document does not have: a passing sentence.
@@ -111,17 +111,36 @@ class _Judge:
         return c
 
 
+def _bits(mask: str | None) -> tuple[int, ...]:
+    """The subjects of a mask: their numbers with commas, after a minus sign if they are inferred; "" for none."""
+    return tuple(int(x) for x in (mask or "").lstrip("-").split(",") if x)
+
+
 def _masked(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
-    """(text, mask): the bit mask of each document's labels, 0 without any."""
-    bit = F.create_map(*[F.lit(x) for i, s in enumerate(subjects) for x in (s, 1 << i)])
-    masks = labels.filter(F.col("subject").isin(subjects)).select("doc_id", bit[F.col("subject")].alias("b")).groupBy("doc_id").agg(F.bit_or("b").cast("bigint").alias("mask"))
-    return spread(documents.select("doc_id", "text")).join(masks, "doc_id", "left").select("text", F.coalesce("mask", F.lit(0)).cast("bigint").alias("mask"))
+    """(text, mask): the numbers of each document's labelled subjects, "" without any."""
+    number = F.create_map(*[F.lit(x) for i, s in enumerate(subjects) for x in (s, i)])
+    masks = labels.filter(F.col("subject").isin(subjects)).select("doc_id", number[F.col("subject")].alias("b")).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("b")).cast("array<string>"), ",").alias("mask"))
+    return spread(documents.select("doc_id", "text")).join(masks, "doc_id", "left").select("text", F.coalesce("mask", F.lit("")).alias("mask"))
+
+
+def _labelled_tongues(masked: DataFrame) -> list[int]:
+    """The languages that some labelled document is clearly in; a subject is learnt per language from labels only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logp = languages.model()
+        for b in batches:
+            scores, grams = languages.posteriors([" ".join(sentences(t)) for t in b.column(0).to_pylist()], logp)
+            top = np.sort(scores, axis=1)
+            clear = (top[:, -1] - top[:, -2] > TONGUE_MARGIN * grams) & (grams >= TONGUE_GRAMS) if len(grams) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(scores.argmax(axis=1)[clear]), pa.int32())], names=["tongue"])
+
+    return sorted(r["tongue"] for r in masked.filter("mask <> ''").mapInArrow(run, "tongue int").distinct().collect())  # at most one per language
 
 
 def _rows(masked: DataFrame, components: np.ndarray | None, tongues: list[int]) -> DataFrame:
     """(sentence, mask, tongue, n): distinct sentences with the subjects and the language of their documents.
 
-    Documents without labels get, from the components so far, the negative of the mask of the
+    Documents without labels get, from the components so far, an inferred mask of the
     subjects their sentences are mostly about: evidence for the anchors, but no constraint.
     """
     sent = None if components is None else masked.sparkSession.sparkContext.broadcast(components)  # fixed size
@@ -135,21 +154,22 @@ def _rows(masked: DataFrame, components: np.ndarray | None, tongues: list[int])
             split = [sentences(t) for t in b.column(0).to_pylist()]
             scores = languages.posteriors([" ".join(own) for own in split], logp)[0] if split else np.empty((0, len(logp)))
             for own, m, tongue in zip(split, b.column(1).to_pylist(), np.take(tongues, scores[:, tongues].argmax(axis=1))):
-                if judge and m == 0:
+                if judge and not m:
                     about = Counter(c for c in map(judge, own) if c >= 0)
-                    m = -sum(1 << c for c, n in about.items() if n >= SURE_SENTENCES and n >= SURE_SHARE * sum(about.values()))
+                    sure = sorted(c for c, n in about.items() if n >= SURE_SENTENCES and n >= SURE_SHARE * sum(about.values()))
+                    m = "-" + ",".join(map(str, sure)) if sure else ""
                 seen.update((s, m, int(tongue)) for s in own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in seen], pa.string()), pa.array([x[1] for x in seen], pa.int64()), pa.array([x[2] for x in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())],
+                [pa.array([x[0] for x in seen], pa.string()), pa.array([x[1] for x in seen], pa.string()), pa.array([x[2] for x in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())],
                 names=["sentence", "mask", "tongue", "n"],
             )
 
-    return masked.mapInArrow(run, "sentence string, mask bigint, tongue int, n bigint").groupBy("sentence", "mask", "tongue").agg(F.sum("n").alias("n"))
+    return masked.mapInArrow(run, "sentence string, mask string, tongue int, n bigint").groupBy("sentence", "mask", "tongue").agg(F.sum("n").alias("n"))
 
 
-def _gather(rows: DataFrame, width: int, of_row) -> np.ndarray:
-    """The sum over the rows (sentence, mask, tongue, n) of n times of_row(terms, mask, tongue), which gives
-    (first line, lines x terms); at most width x TERMS sums are collected."""
+def _gather(rows: DataFrame, width: int, of_row) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, sum) of the sum over the rows (sentence, mask, tongue, n) of n times of_row(terms, mask, tongue), which gives
+    (first line, lines x terms); at most width x TERMS sums are collected, line by line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, TERMS))
@@ -161,9 +181,15 @@ def _gather(rows: DataFrame, width: int, of_row) -> np.ndarray:
         i, j = np.nonzero(total > 1e-9)
         yield pa.RecordBatch.from_arrays([pa.array(i * TERMS + j), pa.array(total[i, j])], names=["cell", "v"])
 
-    sums = rows.select("sentence", "mask", "tongue", "n").mapInArrow(run, "cell bigint, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
+    sums = rows.select("sentence", "mask", "tongue", "n").mapInArrow(run, "cell bigint, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas().sort_values("cell")
+    return sums["cell"].to_numpy(np.int64), sums["v"].to_numpy()
+
+
+def _table(cells: np.ndarray, values: np.ndarray, first: int, width: int) -> np.ndarray:
+    """The lines from first on as a table of width x TERMS."""
     out = np.zeros(width * TERMS)
-    out[sums["cell"].to_numpy(np.int64)] = sums["v"].to_numpy()
+    lo, hi = np.searchsorted(cells, [first * TERMS, (first + width) * TERMS])
+    out[cells[lo:hi] - first * TERMS] = values[lo:hi]
     return out.reshape(width, TERMS)
 
 
@@ -176,33 +202,29 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[list
     named = sorted((r["subject"], f"{r['subject_name'] or ''} {r['description'] or ''}") for r in areas.filter("subject is not null").distinct().collect())  # the fixed list of areas
     subjects = [s for s, _ in named]
     masked = _masked(documents, labels, subjects)
-    h, tongues = None, list(range(len(languages.LANGUAGES)))
+    h, tongues = None, _labelled_tongues(masked) or list(range(len(languages.LANGUAGES)))
     for _ in range(1 + BOOTS):
-        rows = cut_lineage(_rows(masked, h, tongues))
-        sizes = {r["tongue"]: r["n"] for r in rows.groupBy("tongue").agg(F.sum("n").alias("n")).collect()}  # one row per language
-        # a language that next to nobody writes is a misjudged one
-        tongues = sorted(t for t, n in sizes.items() if n >= TONGUE_SHARE * sum(sizes.values())) or tongues
-        h = _factor(rows, named, tongues)
+        h = _factor(cut_lineage(_rows(masked, h, tongues)), named)
     return subjects, h.astype(np.float32)
 
 
-def _factor(rows: DataFrame, named: list[tuple[str, str]], tongues: list[int]) -> np.ndarray:
+def _factor(rows: DataFrame, named: list[tuple[str, str]]) -> np.ndarray:
     """The components of the rows, from anchors seeded by the documents' subjects."""
     k = len(named)
 
-    place = {t: i for i, t in enumerate(tongues)}
-
-    def shares(t: np.ndarray, mask: int, tongue: int) -> tuple[int, np.ndarray]:
-        if tongue not in place:
-            return 0, np.zeros((0, len(t)))
-        has = np.array([abs(mask) >> i & 1 for i in range(k)], float)
-        return place[tongue] * (k + 1), np.repeat(np.concatenate((has / max(has.sum(), 1), [1.0]))[:, None], len(t), axis=1)
+    def shares(t: np.ndarray, mask: str, tongue: int) -> tuple[int, np.ndarray]:
+        has = np.zeros(k)
+        has[list(_bits(mask))] = 1
+        return tongue * (k + 1), np.repeat(np.concatenate((has / max(has.sum(), 1), [1.0]))[:, None], len(t), axis=1)
 
     # an anchor is what a subject's documents say more often than documents in the same language do
-    counts = _gather(rows, (k + 1) * len(tongues), shares).reshape(len(tongues), k + 1, TERMS)
-    everywhere, inside, expected = counts[:, k].sum(axis=0), counts[:, :k].sum(axis=0), np.zeros((k, TERMS))
-    for own in counts[:, :k]:
-        expected += own.sum(axis=1, keepdims=True) * own.sum(axis=0) / max(own.sum(), 1e-9)
+    cells, values = _gather(rows, (k + 1) * len(languages.LANGUAGES), shares)
+    everywhere, inside, expected = np.zeros(TERMS), np.zeros((k, TERMS)), np.zeros((k, TERMS))
+    for tongue in np.unique(cells // ((k + 1) * TERMS)):
+        own = _table(cells, values, int(tongue) * (k + 1), k + 1)
+        everywhere += own[k]
+        inside += own[:k]
+        expected += own[:k].sum(axis=1, keepdims=True) * own[:k].sum(axis=0) / max(own[:k].sum(), 1e-9)
     lift = inside / (expected + 0.3)
     # a subject that many documents have cannot stand out by much
     most = inside.sum() / np.maximum(inside.sum(axis=1, keepdims=True), 1e-9)
@@ -215,18 +237,19 @@ def _factor(rows: DataFrame, named: list[tuple[str, str]], tongues: list[int]) -
     h0 = _normal(np.vstack([seeds, shared]))
     h = h0 + 1e-7
     # without labels a sentence may be about anything, whatever its documents are about
-    free = rows.groupBy("sentence", F.greatest("mask", F.lit(0)).alias("mask"), F.lit(0).alias("tongue")).agg(F.sum("n").alias("n"))
+    free = rows.groupBy("sentence", F.when(F.startswith("mask", F.lit("-")), "").otherwise(F.col("mask")).alias("mask"), F.lit(0).alias("tongue")).agg(F.sum("n").alias("n"))
     free = cut_lineage(free)
     for _ in range(ROUNDS):
         sent = rows.sparkSession.sparkContext.broadcast(h)  # fixed size
 
-        def update(t: np.ndarray, mask: int, tongue: int) -> tuple[int, np.ndarray]:
-            allowed = np.array([1.0 if mask <= 0 or mask >> i & 1 else OUTSIDE for i in range(k)] + [1.0])
+        def update(t: np.ndarray, mask: str, tongue: int) -> tuple[int, np.ndarray]:
+            allowed = np.full(k + 1, OUTSIDE if mask else 1.0)
+            allowed[[*_bits(mask), k]] = 1.0
             columns = sent.value[:, t]
             w = _weights(columns, allowed)
             return 0, (w[:, None] * columns) / np.maximum(w @ columns, 1e-12)
 
-        h = _normal(_normal(_gather(free, k + 1, update)) + PRIOR * h0) + 1e-7
+        h = _normal(_normal(_table(*_gather(free, k + 1, update), 0, k + 1)) + PRIOR * h0) + 1e-7
     return h
 
 

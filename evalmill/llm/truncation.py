@@ -42,6 +42,7 @@ PATTERNS = {
     "name": r" (?<=[\p{Ll}0,;:%)] )\p{Lu}[\p{L}'’]*(?: \p{Lu}[\p{L}'’]*)*",
     "bound": r"[.!?:](?=[\s*_\"')\]}”»])|[。！？\r\n]+",
     "closed": r"(?:[.!?。！？][*_\"'”“»)\]}`]*|(?:[.!?:。！？]\s+|\n|^|\*|=\s*)(?:0\.[0-9][0-9]|[0-9]{1,3}%)\**)$",
+    "closers": r"^[*_\"'”“»)\]}`]+$",  # the end of the sentence lies before them
     "may_boxed": r"[}*_$]",
     "boxed": r"\\boxed\{(?:[^{}]|\{[^{}]*\})*\}[*_$\s]*$",
     "edge": r"^[^\p{L}\p{Nd}%<]+|[^\p{L}\p{Nd}%>]+$",
@@ -111,7 +112,7 @@ def truncated_texts(rows: DataFrame) -> DataFrame:
     bodies = _sql(
         spark,
         """
-        select row_id, body, right(body, 24) rlike :closed or (right(body, 1) rlike :may_boxed and body rlike :boxed) as closed
+        select row_id, body, if(right(body, 24) rlike :closers, body, right(body, 24)) rlike :closed or (right(body, 1) rlike :may_boxed and body rlike :boxed) as closed
         from {rows} lateral view explode(array(if(right(text, 3) rlike :may_tail, regexp_replace(text, :tail, ''), text))) as body where text is not null""",
         rows=rows,
     )

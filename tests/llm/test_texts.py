@@ -31,13 +31,6 @@ def test_hashing_does_not_cross_texts():
     assert scores.shape == (3, 2) and list(grams) == [2, 0, 1]
 
 
-def test_corpus_counts_are_partition_independent(spark):
-    df = spark.createDataFrame([("abcabc",), (None,), ("",), ("abc",)], "t string")
-    want = ngrams.count_texts(["abcabc", "abc"], 3, 1 << 8)
-    for n in (1, 4):
-        assert (ngrams.corpus_counts(df.repartition(n), "t", 3, 1 << 8, lambda t: t)[0] == want).all()
-
-
 @pytest.mark.parametrize("text, language", [("Das ist eine Frage, die noch niemand beantwortet hat.", "de"), ("Nous ne savons pas encore ce que cela veut dire.", "fr"), ("El puerto atiende menos barcos por la huelga de ayer.", "es"), ("Rain is expected in the north before the weekend.", "en"), ("Базовая частота составляет около половины случаев.", "ru"), ("总体来看，这一结果更有可能发生。", "zh")])
 def test_languages(text, language):
     scores, _ = languages.posteriors([text, None, ""], languages.model())
@@ -151,3 +144,18 @@ def test_defective_pairs(spark):
         got.setdefault(r["row_id"], set()).add(r["defect"])
     assert got == {i: d for i, _, _, d in cases if d}
     assert pairs.defective_pairs(replies.limit(0), items, replies.select("row_id", "text").limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("text", [
+    "Το ποσοστό ανεργίας μειώθηκε ξανά και δεν περιμένω κάποια αλλαγή μέχρι το καλοκαίρι.", "मुझे लगता है कि यह फैसला गर्मियों से पहले नहीं आएगा, क्योंकि दोनों पक्ष अब भी बात कर रहे हैं।",
+    "אני חושב שההחלטה לא תתקבל לפני הקיץ, כי שני הצדדים עדיין מדברים ביניהם.", "ผมคิดว่าการตัดสินใจจะไม่เกิดขึ้นก่อนฤดูร้อน เพราะทั้งสองฝ่ายยังคุยกันอยู่",
+    "Ceny v posledních týdnech vzrostly a nevěřím, že by soud rozhodl ještě před létem.", "Hinnat ovat nousseet viime viikkoina, enkä usko, että oikeus tekee päätöksen ennen kesää.",
+    "Giá cả đã tăng trong những tuần gần đây và tôi không tin rằng tòa án sẽ quyết định trước mùa hè.",
+])
+def test_languages_beside_the_prompts(spark, text):
+    """A reply in a language that no prompt has is told from the prompt's, in whatever script."""
+    rnd = random.Random(9)
+    items = spark.createDataFrame([("en", "Will the court of Arlon decide before the end of the month? Reports since June have been mixed, and the question is open."), ("rare", "Entscheidet das Gericht vor dem Ende des Monats? Die Berichte seit Juni sind gemischt, und die Frage ist offen.")] + [(f"e{i}", _text(rnd)) for i in range(1000)], "item_id string, prompt string")
+    replies = spark.createDataFrame([(1, "en", text), (2, "en", _text(rnd)), (3, "rare", "Ich glaube nicht, dass das Gericht noch vor dem Sommer entscheidet."), (4, "rare", _text(rnd))], "row_id bigint, item_id string, text string")
+    out = pairs.defective_pairs(replies, items, replies.select("row_id", "text")).filter("defect = 'other_language'").collect()
+    assert {r["row_id"] for r in out} == {1, 4}
