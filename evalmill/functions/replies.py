@@ -112,7 +112,10 @@ def answer_type(prompt: Column) -> Column:
 
 
 def interpreted(box: Column, prompt: Column) -> Column:
-    """struct(kind, interpretable, why): whether what a box holds can answer this prompt."""
+    """struct(kind, interpretable, value, why): whether what a box holds can answer this prompt, and the answer.
+
+    The value of an answer is Yes or No, the options chosen in order with commas, or the text; of what is none, what the box holds.
+    """
     raw = stripped(_text(box))
     kind = answer_type(prompt)
     offered = options_offered(prompt)
@@ -127,7 +130,24 @@ def interpreted(box: Column, prompt: Column) -> Column:
         .when((kind == "multiple_choice") & (F.size(picked) == F.size(offered)), "all_options")
         .when((kind == "free_text") & (F.length(inner) < 2), "too_short")
     )
-    return F.struct(kind.alias("kind"), why.isNull().alias("interpretable"), why.alias("why"))
+    value = F.when(raw == "", None).when(why.isNotNull(), raw).when(kind == "binary", F.initcap(F.lower(F.regexp_replace(raw, r"\.+$", "")))).when(kind == "multiple_choice", F.array_join(F.array_sort(picked), ",")).otherwise(inner)
+    return F.struct(kind.alias("kind"), why.isNull().alias("interpretable"), value.alias("value"), why.alias("why"))
+
+
+def interpreted_probability(prob: Column) -> Column:
+    """struct(kind, interpretable, value, why): whether a forecast's figure is a probability that can be scored."""
+    why = F.when(prob.isNull() | F.isnan(prob), "none").when((prob < 0) | (prob > 1), "outside")
+    return F.struct(F.lit("probability").alias("kind"), why.isNull().alias("interpretable"), prob.alias("value"), why.alias("why"))
+
+
+def reconciled(verdict: Column, text: Column, bench: Column, finish_reason: Column) -> Column:
+    """A reader's verdict, where it says TRUNCATED although the facts disprove it replaced by COMPLETE.
+
+    The facts: the provider says that the model stopped, and the reply ends with its own non-empty answer marker.
+    """
+    ends = F.when(bench == "btf3", closing_probability(text)["compliant"]).otherwise(F.endswith(_rstripped(_text(text)), F.lit("}")))
+    disproved = (verdict == "TRUNCATED") & (finish_reason == "stop") & has_marker(text, bench) & ends
+    return F.when(F.coalesce(disproved, F.lit(False)), F.lit("COMPLETE")).otherwise(verdict)
 
 
 def has_marker(text: Column, bench: Column) -> Column:

@@ -25,8 +25,12 @@ def bucket(verdict: Column) -> Column:
 
 
 def delivered(verdict: Column, finish_reason: Column) -> Column:
-    """Whether the provider handed the model's output back; without a verdict a finish reason decides."""
-    return F.when(verdict.isNull(), finish_reason.isNotNull()).otherwise(~verdict.isin(*UNDELIVERED))
+    """Whether the provider handed the model's output back; without a verdict a finish reason decides.
+
+    A verdict outside the vocabulary is an error where it is read, never an answer.
+    """
+    unknown = F.raise_error(F.concat(F.lit("unknown verdict: "), verdict)).cast("boolean")
+    return F.when(verdict.isNull(), finish_reason.isNotNull()).when(verdict.isin(*KNOWN, "EMPTY"), ~verdict.isin(*UNDELIVERED, "EMPTY")).otherwise(unknown)
 
 
 def compliant(verdict: Column) -> Column:

@@ -130,10 +130,40 @@ def plan_cross(spark, d):
 
 @query("plan_grid", """select r.model, i.item_id, a.arm, substr(sha256(r.model || chr(0) || i.item_id || chr(0) || a.arm), 1, 16) as unit from roster r, items i, (select 'original' as arm union all select 'cot') a""", "items")
 def plan_grid(spark, d):
-    """JN01 without its collision check: roster x items x arms, the one cross product that is wanted; every item."""
+    """JN01: roster x items x arms, the one cross product that is wanted; every item."""
     return _cross(spark, d, views.items(spark, d).select("item_id"))
 
 
+@query("plan_collisions", """select count(*) as n_units, count(distinct substr(sha256(r.model || chr(0) || i.item_id || chr(0) || a.arm), 1, 16)) as n_distinct from roster r, items i, (select 'original' as arm union all select 'cot') a""", "items")
+def plan_collisions(spark, d):
+    """JN01: the collision check of the plan; gates that freeze a plan need both numbers equal."""
+    return plan_grid(spark, d).agg(F.count(F.lit(1)).alias("n_units"), F.count_distinct("unit").alias("n_distinct"))
+
+
+@query("grid_todo", """select r.model, i.item_id, a.arm, substr(sha256(r.model || chr(0) || i.item_id || chr(0) || a.arm), 1, 16) as unit from roster r, items i, (select 'original' as arm union all select 'cot') a
+    where substr(sha256(r.model || chr(0) || i.item_id || chr(0) || a.arm), 1, 16) not in (select unit from rec where delivered and unit is not null)""", "rec items")
+def grid_todo(spark, d):
+    """JN21: the grid without the keys that are done."""
+    done = views.records(spark, d).filter("delivered").select("unit")
+    return plan_grid(spark, d).join(done, "unit", "left_anti").select("model", "item_id", "arm", "unit")
+
+
+@query("repeat_grid", """with cases as (select distinct model, item_id, arm from rec where verdict in ('UNDECIDED', 'EMPTY_PARSE') and model is not null and item_id is not null and arm is not null)
+    select c.model, c.item_id, c.arm, n as repeat_no, c.model in (select model from roster) as on_roster from cases c, range(1, 4) t(n) where c.model in (select model from roster) or n = 1""", "rec")
+def repeat_grid(spark, d):
+    """JN22: cases to run three times each; a case of a model off the roster is reported once, not run."""
+    cases = views.records(spark, d).filter("verdict in ('UNDECIDED', 'EMPTY_PARSE') and model is not null and item_id is not null and arm is not null").select("model", "item_id", "arm").distinct()
+    known = table(spark, d, "roster").select("model", F.lit(True).alias("known")).distinct()
+    rows = cases.join(known, "model", "left").withColumn("on_roster", F.coalesce("known", F.lit(False)))
+    return rows.withColumn("repeat_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.when(F.col("on_roster"), F.lit(3)).otherwise(F.lit(1)).cast("bigint")))).select("model", "item_id", "arm", "repeat_no", "on_roster")
+
+
+@query("datasets", "select case when bench = 'btf3' then 'btf3' else 'forecastbench' end as dataset, count(*) as n from records group by 1")
+def datasets(spark, d):
+    """PF04: what is not of the one source counts for the other."""
+    return table(spark, d, "records").groupBy(F.when(F.col("bench") == "btf3", "btf3").otherwise("forecastbench").alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _cross(spark, d, picked):
     models = table(spark, d, "roster").select("model")  # a fixed list
     arms = F.explode(F.array(F.lit("original"), F.lit("cot"))).alias("arm")
@@ -440,23 +470,24 @@ def billed_unledgered(spark, d):
     return billed.join(known, "attempt", "left_anti").select("attempt", F.round(F.col("cost") * 10_000_000).cast("bigint").alias("cost_e7"))
 
 
-@query("record_costs", "select rec_seq, (coalesce(usage.prompt_tokens, 0) * price_in + coalesce(usage.completion_tokens, 0) * price_out) / 1000000 as cost from records join roster using (model)")
+@query("record_costs", "select rec_seq, price_in is not null and price_out is not null as priced, (coalesce(usage.prompt_tokens, 0) * price_in + coalesce(usage.completion_tokens, 0) * price_out) / 1000000 as cost from records left join roster using (model)")
 def record_costs(spark, d):
-    """MF01, JN11."""
-    return table(spark, d, "records").join(table(spark, d, "roster").select("model", "price_in", "price_out"), "model").select("rec_seq", scalars.token_cost(F.col("usage.prompt_tokens"), F.col("usage.completion_tokens"), F.col("price_in"), F.col("price_out")).alias("cost"))
+    """MF01, JN11: every record; a model without prices, or none on the roster, is not priced and has no cost rather than none to pay."""
+    priced = F.col("price_in").isNotNull() & F.col("price_out").isNotNull()
+    return table(spark, d, "records").join(table(spark, d, "roster").select("model", "price_in", "price_out"), "model", "left").select("rec_seq", priced.alias("priced"), scalars.token_cost(F.col("usage.prompt_tokens"), F.col("usage.completion_tokens"), F.col("price_in"), F.col("price_out")).alias("cost"))
 
 
-@query("cost_ceilings", """select model, cap is null as uncapped, (400 * price_in + coalesce(cap, context_tokens) * price_out) / 1000000 as highest_cost from roster where price_in is not null and price_out is not null""")
+@query("cost_ceilings", """select model, cap is null as uncapped, price_in is not null and price_out is not null as priced, (400 * price_in + coalesce(cap, context_tokens) * price_out) / 1000000 as highest_cost from roster""")
 def cost_ceilings(spark, d):
-    """MF02, MF18, JN12: the ceiling of one call, with the context as fallback for a missing cap."""
+    """MF02, JN12: the ceiling of one call, with the context as fallback for a missing cap; an unpriced model is kept and has no ceiling."""
     c = F.col
-    return table(spark, d, "roster").filter("price_in is not null and price_out is not null").select("model", c("cap").isNull().alias("uncapped"), scalars.highest_cost(F.coalesce("cap", "context_tokens"), c("price_in"), c("price_out")).alias("highest_cost"))
+    return table(spark, d, "roster").select("model", c("cap").isNull().alias("uncapped"), (c("price_in").isNotNull() & c("price_out").isNotNull()).alias("priced"), scalars.highest_cost(F.coalesce("cap", "context_tokens"), c("price_in"), c("price_out")).alias("highest_cost"))
 
 
-@query("context_fit", """select rec_seq, case when coalesce(cap, 0) = 0 or coalesce(context_tokens, 0) = 0 then cap else greatest(1, least(cap, context_tokens - (prompt_chars // 3 + 1) - 512)) end::bigint as servable from records join roster using (model)""")
+@query("context_fit", """select rec_seq, case when coalesce(cap, 0) = 0 or coalesce(context_tokens, 0) = 0 then cap else greatest(1, least(cap, context_tokens - (prompt_chars // 3 + 1) - 512)) end::bigint as servable from records left join roster using (model)""")
 def context_fit(spark, d):
-    """MF03."""
-    return table(spark, d, "records").join(table(spark, d, "roster").select("model", "cap", "context_tokens"), "model").select("rec_seq", scalars.servable_output(F.col("cap"), F.col("context_tokens"), F.col("prompt_chars")).alias("servable"))
+    """MF03: every record; a model off the roster has no ceiling."""
+    return table(spark, d, "records").join(table(spark, d, "roster").select("model", "cap", "context_tokens"), "model", "left").select("rec_seq", scalars.servable_output(F.col("cap"), F.col("context_tokens"), F.col("prompt_chars")).alias("servable"))
 
 
 @query("mean_tokens", "select coalesce(model, 'FLEET') as model, count(*) as calls, sum(usage.prompt_tokens) / count(*) as mean_in, sum(usage.completion_tokens) / count(*) as mean_out from records where usage.prompt_tokens > 0 and usage.completion_tokens > 0 group by rollup (model)")

@@ -122,11 +122,34 @@ def answer_types(spark, d):
 
 @query("interpreted_answers")
 def interpreted_answers(spark, d):
-    """TX13, TX14: whether the recorded box answers its item's question, and why not."""
+    """TX13: whether the recorded box answers its item's question, with which value, and why not."""
     boxed = table(spark, d, "records").filter("bench = 'futurex' and parsed.n_boxes > 0").select("rec_seq", "item_id", "parsed.raw_box")
     return boxed.join(views.items(spark, d).select("item_id", "prompt"), "item_id").select("rec_seq", replies.interpreted(F.col("raw_box"), F.col("prompt")).alias("i")).select("rec_seq", "i.*")
 
 
+@query("interpreted_probabilities", """select rec_seq, 'probability' as kind, coalesce(p between 0 and 1, false) as interpretable, p as value, case when p is null then 'none' when p not between 0 and 1 then 'outside' end as why
+    from (select rec_seq, case when isnan(parsed.prob) then null else parsed.prob end as p from records where bench = 'btf3')""")
+def interpreted_probabilities(spark, d):
+    """TX14: whether a forecast's figure can be scored; forecasts are the records of this benchmark."""
+    prob = F.when(~F.isnan("parsed.prob"), F.col("parsed.prob"))
+    return table(spark, d, "records").filter("bench = 'btf3'").select("rec_seq", replies.interpreted_probability(prob).alias("i")).select("rec_seq", "i.*")
+
+
+@query("reader_overruled")
+def reader_overruled(spark, d):
+    """TX24: the verdicts of readers, and what stands of them once the facts have been heard."""
+    c = F.col
+    r = views.records(spark, d).filter("completeness_by in ('layer2', 'layer1-deferred') and verdict is not null")
+    return r.select("rec_seq", c("verdict").alias("said"), replies.reconciled(c("verdict"), c("text"), c("bench"), c("finish_reason")).alias("stands")).withColumn("overruled", c("said") != c("stands"))
+
+
+@query("verdict_vocabulary", """select verdict, verdict in ('COMPLETE', 'NO_ANSWER', 'TRUNCATED', 'PROVIDER_ERROR', 'TRANSPORT_ERROR', 'SCHEMA_ERROR', 'UNDECIDED', 'EMPTY_HTTP', 'EMPTY_PARSE', 'EMPTY_CONFLICT', 'BUDGET_CAPPED') as known, count(*) as n from rec where verdict is not null group by 1""", "rec")
+def verdict_vocabulary(spark, d):
+    """PF09: each verdict that occurs, and whether the vocabulary has it; delivered() refuses one that it has not."""
+    r = table(spark, d, "records").select(verdicts.current(F.col("completeness")).alias("verdict")).filter("verdict is not null")
+    return r.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).withColumn("known", F.col("verdict").isin(*verdicts.KNOWN))
+
+
 @query("completeness_verdicts")
 def completeness_verdicts(spark, d):
     """TX15 to TX17: the verdict from facts, in the order of its rules."""
@@ -326,10 +349,13 @@ def set_hashes(spark, d):
     return parts.groupBy("bench").agg(F.sha2(F.array_join(whole, ""), 256).alias("items_hash"), F.sum("n").alias("n"))
 
 
-@query("effective_questions", "select bench, count(*) as clusters, sum(n) as items from (select bench, substr(end_time, 1, 7) as m, count(*) as n from items group by 1, 2) group by 1", "items")
+@query("effective_questions", "select bench, count(*) as clusters, cast(sum(n) as bigint) as items, cast(round(sum(n * log2(n + 1) / (n + 1)) * 1000) as bigint) as effective_e3 from (select bench, substr(end_time, 1, 7) as m, count(*) as n from items group by 1, 2) group by 1", "items")
 def effective_questions(spark, d):
-    """AG37: how many correlated groups the items form."""
-    return views.items(spark, d).groupBy("bench", F.substring("end_time", 1, 7).alias("m")).agg(F.count(F.lit(1)).alias("n")).groupBy("bench").agg(F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("items"))
+    """AG37: the correlated groups of items, and the effective number of questions: each of N weighs log2(N + 1) / (N + 1)."""
+    n = F.col("n")
+    return views.items(spark, d).groupBy("bench", F.substring("end_time", 1, 7).alias("m")).agg(F.count(F.lit(1)).alias("n")).groupBy("bench").agg(
+        F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("items"), F.round(F.sum(n * F.log2(n + 1) / (n + 1)) * 1000).cast("bigint").alias("effective_e3")
+    )
 
 
 @query("committee", "select item_id, arm, count(bp) as votes, sum(bp) / (count(bp) * 100) as mean_forecast, count(*) filter (bp >= 50) * 2 > count(bp) as majority_yes from (select item_id, arm, cast(round(parsed.prob * 100) as bigint) as bp from records where parsed.prob is not null) group by 1, 2")
@@ -411,6 +437,13 @@ def denominator_loss(spark, d):
     return s.select("model", loss.alias("loss"), (loss > 0.34).alias("too_much")).orderBy(F.desc("loss"), "model").limit(3)
 
 
+@query("coverage_overall", "select count(*) as n, count(*) filter (verdict in ('COMPLETE', 'NO_ANSWER')) as observed, count(*) filter (verdict in ('COMPLETE', 'NO_ANSWER')) >= 0.95 * count(*) as enough from rec", "rec")
+def coverage_overall(spark, d):
+    """AG29: whether the records as a whole are observed well enough for a rate over them."""
+    observed = F.count_if(F.col("verdict").isin(*verdicts.SCOREABLE))
+    return views.records(spark, d).agg(F.count(F.lit(1)).alias("n"), observed.alias("observed"), (observed >= 0.95 * F.count(F.lit(1))).alias("enough"))
+
+
 @query("reasoning_rate", "with s as (select model, count(*) as n, count(*) filter (length(text) >= 120) as k from records where ok group by 1) select model, n, k, k / n as rate from s")
 def reasoning_rate(spark, d):
     """DQ07: replies long enough to hold reasoning, by whole text."""
@@ -418,12 +451,14 @@ def reasoning_rate(spark, d):
     return s.withColumn("rate", scalars.share(F.col("k"), F.col("n")))
 
 
-@query("wilson_floors", """with s as (select model, count(*) filter (compliant) as k, count(compliant) as n from records group by 1)
-    select model, k, n, case when n > 0 then (k / n + 3.8415999999999997 / (2 * n) - 1.96 * sqrt((k / n * (1 - k / n) + 3.8415999999999997 / (4 * n)) / n)) / (1 + 3.8415999999999997 / n) end > 0.5 as above_half from s""")
+@query("wilson_floors", """with s as (select model, count(*) filter (compliant) as k, count(compliant) as n from records group by 1),
+    u as (select model, k, n, case when n > 0 then (k / n + 3.8415999999999997 / (2 * n) - 1.96 * sqrt((k / n * (1 - k / n) + 3.8415999999999997 / (4 * n)) / n)) / (1 + 3.8415999999999997 / n) end as low from s)
+    select model, k, n, low > 0.5 as above_half, cast(round(low * 1000000000) as bigint) as low_e9 from u""")
 def wilson_floors(spark, d):
-    """AG25: whether the lower end of the 95 % interval is above one half."""
+    """AG25: the lower end of the 95 % interval, in units of 1e-9, and whether it is above one half."""
     s = table(spark, d, "records").groupBy("model").agg(F.count_if("compliant").alias("k"), F.count("compliant").alias("n"))
-    return s.select("model", "k", "n", (scalars.wilson_floor(F.col("k"), F.col("n")) > 0.5).alias("above_half"))
+    low = scalars.wilson_floor(F.col("k"), F.col("n"))
+    return s.select("model", "k", "n", (low > 0.5).alias("above_half"), F.round(low * 1_000_000_000).cast("bigint").alias("low_e9"))
 
 
 @query("index_percentiles", "select model, x[len(x) // 2 + 1] as p50_ms, x[cast(floor(len(x) * 0.95) as bigint) + 1] as p95_ms, x[len(x)] as most_ms from (select model, list_sort(list(ms)) as x from (select model, cast(round(duration_s * 1000) as bigint) as ms from records) where ms is not null group by 1)")
@@ -448,7 +483,7 @@ def reader_scores(spark, d):
 
 @query("reader_disagreement", "select completeness_by, count(*) as n, count(*) filter (scoreable is distinct from (verdict in ('COMPLETE', 'NO_ANSWER'))) as differing from rec where verdict is not null group by 1", "rec")
 def reader_disagreement(spark, d):
-    """AG31, TX24: stored flags against what their verdict means, per reader."""
+    """AG31: stored flags against what their verdict means, per reader."""
     r = views.records(spark, d).filter("verdict is not null")
     return r.groupBy("completeness_by").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("scoreable").eqNullSafe(F.col("verdict").isin(*verdicts.SCOREABLE))).alias("differing"))
 

@@ -125,3 +125,34 @@ def test_reader_and_extractor(spark):
     assert all(r["v"] == r["w"] for r in df.select("w", replies.reader_verdict(F.col("t")).alias("v")).collect())
     df = spark.createDataFrame([("so\nPROB: 0.35 ",), ("prob: none",), ("PROB: 1.7",), ("0.3",), ("",)], "t string")
     assert [(r["p"]["readable"], r["p"]["prob"]) for r in df.select(replies.extracted_probability(F.col("t")).alias("p")).collect()] == [(True, 0.35), (True, None), (False, None), (False, None), (False, None)]
+
+
+def test_readers_do_not_contradict_facts(spark):
+    rows = [
+        ("TRUNCATED", "It rises.\\boxed{A}", "futurex", "stop", "COMPLETE"), ("TRUNCATED", "It rises.\\boxed{A} so", "futurex", "stop", "TRUNCATED"), ("TRUNCATED", "\\boxed{ }", "futurex", "stop", "TRUNCATED"),
+        ("TRUNCATED", "\\boxed{A}", "futurex", "length", "TRUNCATED"), ("TRUNCATED", "\\boxed{A}", "futurex", None, "TRUNCATED"), ("NO_ANSWER", "\\boxed{A}", "futurex", "stop", "NO_ANSWER"),
+        ("TRUNCATED", "So I say\n0.42", "btf3", "stop", "COMPLETE"), ("TRUNCATED", "0.42 or so it", "btf3", "stop", "TRUNCATED"), ("TRUNCATED", None, "futurex", "stop", "TRUNCATED"), (None, "\\boxed{A}", "futurex", "stop", None),
+    ]
+    df = spark.createDataFrame(rows, "v string, t string, b string, f string, want string")
+    got = df.select("want", replies.reconciled(F.col("v"), F.col("t"), F.col("b"), F.col("f")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_values_of_answers(spark):
+    ask = "Which?\nA. one\nB. two\nC. three\n"
+    rows = [("yes.", "Will it happen? Answer Yes or No.", None), ("b, A", ask, "A,B"), ("D", ask, "D"), ("\\text{Arlon}", "Who wins the prize?", "Arlon"), ("", "Who?", None)]
+    df = spark.createDataFrame(rows, "box string, prompt string, want string")
+    out = df.select("box", "want", replies.interpreted(F.col("box"), F.col("prompt")).alias("i")).select("box", "want", "i.*").collect()
+    assert [r["value"] for r in out][1:] == [r["want"] for r in out][1:]
+    assert out[0]["value"] in ("Yes", "yes.") and out[0]["interpretable"] == (out[0]["value"] == "Yes") or out[0]["kind"] == "free_text"
+    probs = spark.createDataFrame([(0.0,), (1.0,), (1.5,), (-0.1,), (None,), (float("nan"),)], "p double").select(replies.interpreted_probability(F.col("p")).alias("i")).select("i.*").collect()
+    assert [r["why"] for r in probs] == [None, None, "outside", "outside", "none", "none"]
+
+
+def test_unknown_verdicts_are_refused(spark):
+    from evalmill.functions import verdicts
+
+    known = spark.createDataFrame([("COMPLETE", None), ("EMPTY", "stop"), (None, "stop"), (None, None)], "v string, f string").select(verdicts.delivered(F.col("v"), F.col("f")).alias("d"))
+    assert [r["d"] for r in known.collect()] == [True, False, True, False]
+    with pytest.raises(Exception, match="unknown verdict: FINE"):
+        spark.createDataFrame([("FINE", "stop")], "v string, f string").select(verdicts.delivered(F.col("v"), F.col("f")).alias("d")).collect()
