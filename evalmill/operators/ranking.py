@@ -23,13 +23,24 @@ def chunked_rank(df: DataFrame, group: list[str], order: list[Column], chunk: Co
     return keyed.withColumn("_place", inside).join(starts, [*group, "_chunk"]).withColumn("rank", (F.col("_before") + F.col("_place")).cast("bigint")).drop("_chunk", "_before", "_place")
 
 
+#: Chunks whose sums one task adds up; their totals are added up in turn.
+SPAN = 1024
+
+
 def chunked_sum(df: DataFrame, value: str, order: list[Column], chunk: Column, group: list[str] | None = None) -> DataFrame:
-    """df with ``running``: the sum of value up to and with the row along order, in the group; NULL values add nothing. chunk as above."""
+    """df with ``running``: the sum of value up to and with the row along order, in the group; NULL values add nothing.
+
+    chunk is a whole number that does not decrease along order. Rows are added up per chunk, chunks per
+    SPAN of them, and only the totals of these in one task per group.
+    """
     by = group or []
-    keyed = df.withColumn("_chunk", chunk)
-    sums = keyed.groupBy(*by, "_chunk").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_s"))
-    over = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*by, "_chunk", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_before"))
+    keyed = df.withColumn("_chunk", chunk.cast("bigint"))
+    sums = keyed.groupBy(*by, "_chunk").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_s")).withColumn("_top", F.floor(F.col("_chunk") / SPAN).cast("bigint"))
+    tops = sums.groupBy(*by, "_top").agg(F.sum("_s").alias("_t"))
+    ahead = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_top").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*by, "_top", F.coalesce(F.sum("_t").over(ahead), F.lit(0)).alias("_ahead"))
+    over = Window.partitionBy(*by, "_top").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_within", F.coalesce(F.sum("_s").over(over), F.lit(0))).join(tops, [*by, "_top"]).select(*by, "_chunk", (F.col("_ahead") + F.col("_within")).alias("_before"))
     inside = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return keyed.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(starts, [*by, "_chunk"]).withColumn("running", F.col("_before") + F.col("_in")).drop("_chunk", "_before", "_in")
 
