@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import share
+from ..session import cut_lineage
 from .ranking import exact_median
 
 
@@ -63,15 +64,19 @@ def forecast_summary(df: DataFrame, group: list[str], half: int, unit: int) -> D
 
     Unparsed rows stay in n and truncated but in no metric.
     """
-    counts = df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.count("bp").alias("parsed"), F.count_if("truncated").alias("truncated"), F.sum("bp").alias("bp_sum")
+    # all but the medians come from one table of the distinct (score, outcome) pairs, read once from the source
+    table = cut_lineage(df.groupBy(*group, "bp", "y").agg(
+        F.count(F.lit(1)).alias("w"), F.count_if("truncated").alias("cut"), F.count("chars").alias("n_chars"), F.count("ms").alias("n_ms")
+    ))
+    counts = table.groupBy(*group).agg(
+        F.sum("w").alias("n"), F.coalesce(F.sum(F.when(F.col("bp").isNotNull(), F.col("w"))), F.lit(0)).alias("parsed"), F.sum("cut").alias("truncated"), F.sum(F.col("bp") * F.col("w")).alias("bp_sum")
     )
-    # the three metrics share one pass: equal (score, outcome) pairs are counted once
-    cells = df.filter("bp is not null and y is not null").groupBy(*group, "bp", "y").agg(F.count(F.lit(1)).alias("w"))
+    sizes = table.groupBy(*group).agg(F.sum("n_chars").alias("n_chars"), F.sum("n_ms").alias("n_ms"))
+    cells = table.filter("bp is not null and y is not null")
     out = counts
     for part in (
-        exact_median(df, group, "chars", "median_chars", 4096),
-        exact_median(df, group, "ms", "median_ms", 1 << 18),
+        exact_median(df, group, "chars", "median_chars", 4096, sizes.select(*group, F.col("n_chars").alias("_n"))),
+        exact_median(df, group, "ms", "median_ms", 1 << 18, sizes.select(*group, F.col("n_ms").alias("_n"))),
         confusion(cells, group, "bp", "y", half, "w"),
         brier(cells, group, "bp", "y", unit, "w").drop("n", "n_pos"),
         rank_auc(cells, group, "bp", "y", "w").drop("n_pos", "n_neg"),
