@@ -4,7 +4,9 @@ Character n-gram models of natural prose, filler and notices, and of natural not
 slots over the shape of the text (a word is one character there, so a slot's name does not matter),
 are fitted on seeds written here and then on the corpus itself, in rounds: what the models so far
 take for residue counts for its class, the rest for prose. A gram counts once per distinct text, and
-prose counts are reduced by one, so neither copies of a text nor its own wording make it prose.
+prose counts are reduced by one, so neither copies of a text nor its own wording make it prose. A gram
+that is mostly prose counts for residue no more than for prose, so a few clean texts that a round
+takes for residue do not make their wording residue.
 Windows in which a residue class is likelier than prose are merged to spans, and spans decide by
 what they cover: wording that covers most of its sentence, or is long by itself, and a slot by the
 ratio over its whole span. Talk about such things covers little of its sentence; wording in
@@ -49,6 +51,9 @@ SURE_COVERED, SURE_MEAN, SURE_SUM = 0.9, 2.5, 6.0
 WHOLE = 0.5
 #: How often the corpus is read to fit the models.
 ROUNDS = 2
+#: How many times as often in prose as in residue a gram must stand for its residue counts to be doubted: residue is far rarer
+#: than prose, so a few texts wrongly taken for it would make a common wording a sign of it.
+DOUBTED = 10
 #: Probability of what a model has never seen.
 FLOOR = 1e-6
 #: Characters worked on at once; a longer text is scored in blocks that end with a line.
@@ -63,7 +68,7 @@ _LATIN = """Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eius
 minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit
 esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."""
 #: What spreadsheets and programs print for a value that is not there.
-_NO_VALUE = "undefined|NaN|null|None|nil|(null)|[object Object]|#REF!|#VALUE!|#NAME?|#DIV/0!|#N/A|#NUM!|#NULL!|TBD|TBA|TBC|TODO|FIXME|XXX|tbd|N/A|n/a n/a|null null|undefined undefined|NaN NaN"
+_NO_VALUE = "undefined|NaN|null|None|NoneType|nil|(null)|[object Object]|#REF!|#VALUE!|#NAME?|#DIV/0!|#N/A|#NUM!|#NULL!|TBD|TBA|TBC|TODO|FIXME|XXX|tbd|N/A|n/a n/a|null null|undefined undefined|NaN NaN"
 _FILLER = """this is a placeholder|placeholder goes in here|insert your own words here|dummy content, please change it|fill in the name here|fill in later|please fill in|enter the value|insert the date|your caption goes here|the summary goes here|your address goes here|image title goes here|some dummy words for the layout|dummy paragraph, for design only|example wording for the answer|sample caption|TODO: write this section|TODO: add a figure later|to do: revise|sample paragraph|example sentence, not final|some text will go here
 to be added later|to be written|to be supplied|final text to follow|coming soon|content to come|copy to be provided by the author|heading here|body copy here|enter the description here|replace me|fill this in before publishing
 aaaa aaaa|xxx xxx xxx|xxxxxxx|yyyy yyyy|zzz zzz|asdf jkl|asdfgh|qwertz|foo bar|foo foo|bla bla|blah blah|test test|testing testing|abc xyz abc|lorem lorem|hello world test|The quick brown fox jumps over the lazy dog|quick brown fox|....... .......|-- -- --|------------|________|__ __ __|???? ????
@@ -71,13 +76,14 @@ Platzhalter|hier steht später der Text|hier kommt noch ein Absatz|Textbeispiel|
 #: Parts of notices; a line's parts stand after one another in every combination.
 _NOTICES = """the page|this page|that page|the document|the file|the address you entered|the site|the link >> does not exist|was not found|could not be found|cannot be displayed|has been moved or deleted|is not available|is gone|could not be loaded|is temporarily unavailable|is down for maintenance
 an error|an unexpected error|a server error|an internal error|a fatal error|a database error|a problem|something unexpected >> occurred|has occurred|happened while loading the page|happened on our side
-sorry, >> we could not find what you were looking for|something is wrong on our end|your request could not be processed|this content is not available|you are not allowed to see this page|you have no access|too many requests from your address
+sorry,|oops,|whoops, >> we could not find what you were looking for|something is wrong on our end|something went wrong|your request could not be processed|this content is not available|you are not allowed to see this page|you have no access|too many requests from your address
 access to this page|access|access to this resource|permission|your request|the request|the connection >> is denied|was denied|is restricted|was blocked|was refused|was rejected by the server|has timed out|timed out|has expired
+if you believe that this is an error,|if the mistake persists, >> contact the owner of the site|write to the administrator|let us know
 please >> try again later|reload the page|refresh the page|go back to the home page|contact the administrator|contact support if this continues|log in again|sign in to see this page|report this error|come back in a few minutes|wait a few seconds
 the server|the gateway|the host|the proxy|the database >> did not respond in time|did not answer|returned an error|is overloaded|is not responding|refused the connection|is unreachable|encountered an error|closed the connection
 your session|your login|your token|your connection >> has timed out, please log in again|is no longer valid|has ended|has expired, sign in
 javascript|scripting|javascript support|cookies and scripts >> is required|must be enabled|has to be turned on|is turned off|is disabled|is not supported by your browser|is needed to view this site|are required to use this application
-please|you need to|you must >> turn on javascript in your browser settings|enable scripts in your browser|allow cookies|accept cookies to continue|use a newer browser|update your browser|activate javascript to use this page|reload with scripts allowed|prove that you are not a robot|confirm that you are human|verify your identity by completing the check|complete the step below before you continue|complete the captcha|solve this check to continue
+please|you need to|you must >> turn on javascript in your browser settings|enable scripts in your browser|allow cookies|accept cookies to continue|use a newer browser|update your browser|activate javascript to use this page|reload with scripts allowed|prove that you are not a robot|confirm that you are human|verify that you are a person by completing the task|verify your identity by completing the check|complete the step below before you continue|complete the captcha|solve this check to continue
 your browser|the browser you use|this browser >> is out of date|is not supported|is too old|does not support javascript|does not run scripts|has javascript disabled|blocks scripts|blocks cookies
 we use cookies|this site uses cookies|cookies are used >> to improve the site|to give you the best experience|for analytics|. accept all. reject all. manage preferences. settings|to personalise content
 we are|one moment, >> checking that your browser is secure|checking if the connection is secure|verifying that you are human|this takes a few seconds|redirecting you|loading, please wait
@@ -140,7 +146,7 @@ def seed_texts() -> list[list[str]]:
 # ---- what the models see
 
 #: Words that stand for a value that is not there; the shape has one sign for them.
-_ABSENT = "undefined nan null nil tbd tba tbc todo fixme".split()
+_ABSENT = "undefined nan null nonetype nil tbd tba tbc todo fixme".split()
 #: Words that tell a writer to put something in.
 _TELLING = "fill insert enter your placeholder".split()
 _WORD, _JOIN, _AGAIN, _NONE, _TELL = ord("a"), ord("&"), 1, 2, 3
@@ -235,7 +241,10 @@ def _model(seeds: np.ndarray, corpus: np.ndarray | None) -> np.ndarray:
         held = corpus.astype(float)
         held[[PROSE, NOTATION]] = np.maximum(held[[PROSE, NOTATION]] - 1, 0)  # what one text alone says does not make it prose
         total = held.sum(axis=1, keepdims=True)
-        p = np.where(total > 0, (p + held / np.maximum(total, 1)) / 2, p)
+        share = held / np.maximum(total, 1)
+        for k in (FILLER, NOTICE):
+            share[k] = np.where(held[k] * DOUBTED < held[PROSE], np.minimum(share[k], share[PROSE]), share[k])
+        p = np.where(total > 0, (p + share) / 2, p)
     logp = np.log(p + FLOOR)
     return np.stack([logp[FILLER] - logp[PROSE], logp[NOTICE] - logp[PROSE], logp[SLOT] - logp[NOTATION]]).astype(np.float32)
 

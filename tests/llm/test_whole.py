@@ -28,6 +28,18 @@ def test_common_residue_does_not_become_prose(spark, copies):
     assert {r["key"] for r in residue.residue_rows(df, "item_id", "prompt").collect()} == {k for k, _ in dirty}
 
 
+@pytest.mark.parametrize("pages", [1, 6])
+def test_rest_of_error_pages_does_not_become_residue(spark, pages):
+    rnd = random.Random(8)
+    names = ["The cloud region", "The login service", "The browser engine", "The package registry"]
+    outage = [f"{n} returned 503 errors after a certificate expired." for n in names]
+    clean = [(f"c{i}", _text(rnd)) for i in range(600)] + [(f"o{i}", f"{_text(rnd, 2)} {outage[i % 4]} {_text(rnd, 2)}") for i in range(120)]
+    page = "Error {}: the server did not answer. Your session has expired, please log in again. Please enable JavaScript in your browser to view this page.\n{}"
+    dirty = [(f"d{i}", page.format(500 + i, outage[i % 4])) for i in range(pages)] + [(f"v{i}", f"{_text(rnd, 2)}\nNoneType\n{_text(rnd, 2)}") for i in range(2)]
+    df = spark.createDataFrame(clean + dirty, "item_id string, prompt string")
+    assert {r["key"] for r in residue.residue_rows(df, "item_id", "prompt").collect()} == {k for k, _ in dirty}
+
+
 def test_texts_cut_after_a_point(spark):
     rows, cut = _cut_rows()
     base = rows[0][1].rsplit("\n", 1)[0] + "\n"
